@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable of spark and folder) and ORACLE_SQL (name -> DuckDB SQL).
-MODULES = ("q_decontamination", "q_jaccard_join", "q_token_counts")
+MODULES = ("q_decontamination", "q_jaccard_join", "q_fingerprints", "q_token_counts")
 
 
 def _all(kind: str) -> dict:
