@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,14 +160,15 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common
     posted = signed.where(F.size("prefix") > 0).select("grp", "size", F.explode("prefix").alias("list"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     groups = posted.repartition(int(parts), "list").distinct()
-    from pyspark.sql import Window
-
     shared = shelf.keep(groups.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1").drop("m"))
     classes = shelf.keep(signed.where("size > 0").groupBy("cls").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("grp").alias("grp"), F.first("size").alias("size")))
     # groups expand into their classes; a group of several classes is a list of its own
     several = classes.groupBy("grp").count().where("count > 1").select("grp")
     lists = shelf.keep(
-        shared.select("list", "grp").join(classes.select("grp", "cls", "size"), "grp").select("list", "cls", "size").unionByName(classes.join(several, "grp", "left_semi").select(F.col("grp").alias("list"), "cls", "size"))
+        shared.select("list", "grp")
+        .join(classes.select("grp", "cls", "size"), "grp")
+        .select("list", "cls", "size", F.lit(1).cast("long").alias("weight"))
+        .unionByName(classes.join(several, "grp", "left_semi").select(F.col("grp").alias("list"), "cls", "size", _prefix(F.col("size"), percent).alias("weight")))
     )
     shelf.drop(shared)
     needed = lists.select("cls").distinct().join(classes.select("cls", "k"), "cls").select("cls", F.col("k._k1").alias("_k1"), F.col("k._k2").alias("_k2"))
@@ -212,8 +213,6 @@ def _of(texts: DataFrame, needed: DataFrame) -> DataFrame:
 
 def _neighbours(live: DataFrame, percent: int, most: int, tested: DataFrame | None) -> DataFrame:
     """For each class, the classes that stand before it by size in most of its lists, if linked by nothing yet."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("list").orderBy("size", "cls")
     near = live.select("cls", "comp", "size", F.lag(F.struct("cls", "comp", "size")).over(w).alias("p"))
     near = near.where((F.col("p.comp") != F.col("comp")) & (100 * F.col("p.size") >= percent * F.col("size")))
@@ -224,12 +223,25 @@ def _neighbours(live: DataFrame, percent: int, most: int, tested: DataFrame | No
     return near.withColumn("r", rank).where(F.col("r") <= most).select("a", "b").distinct()
 
 
+def _prefix(size: Column, percent: int) -> Column:
+    """Length of the prefix of a set."""
+    return (size - F.ceil(percent * size / 100) + 1).cast("long")
+
+
 def _all_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a list in two components whose sizes allow the similarity."""
-    x = live.select("list", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"))
+    """Every pair in two components that sizes and the n-grams shared by the prefixes allow to be similar.
+
+    Up to the end of the prefix that ends first, two sets have just those n-grams in common that both prefixes
+    list; from there on, no more than what the other n-grams of that set allow. So the intersection is at most
+    the shared ones plus the larger of the two remainders.
+    """
+    x = live.select("list", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), "weight")
     y = live.select("list", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
     on = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
-    return x.join(y, "list").where(on).select("a", "b").distinct()
+    pairs = x.join(y, "list").where(on).groupBy("a", "b", "size_a", "size_b").agg(F.sum("weight").alias("shared"))
+    rest = F.greatest(F.col("size_a") - _prefix(F.col("size_a"), percent), F.col("size_b") - _prefix(F.col("size_b"), percent))
+    # intersection >= t / (1 + t) * (size_a + size_b)
+    return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def _result(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
