@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable of spark and folder) and ORACLE_SQL (name -> DuckDB SQL).
-MODULES = ("q_decontamination", "q_quality_classifier", "q_jaccard_join", "q_secret_scans", "q_lm_scoring", "q_fingerprints", "q_mixing", "q_token_counts", "q_language_id")
+MODULES = ("q_decontamination", "q_quality_classifier", "q_jaccard_join", "q_chat_formatting", "q_secret_scans", "q_lm_scoring", "q_fingerprints", "q_mixing", "q_token_counts", "q_language_id")
 
 
 def _all(kind: str) -> dict:
