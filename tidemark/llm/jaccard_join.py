@@ -136,22 +136,10 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 5) -> DataFrame:
-    """Adds n_shingles and component_id to ``docs`` (doc_id, text, ...); the text column goes.
-
-    Two documents link when the Jaccard similarity of their sets of distinct word n-grams is percent/100 or
-    more; component_id is the smallest doc_id that links lead to, the document's own included. A-Z count as
-    a-z, words are runs of anything but white space. A text of fewer than n words is one n-gram; without
-    words, or null, the set is empty and links with nothing. Repeated doc_ids and rows are documents of their
-    own. A null doc_id is larger than any other: its component_id is null only if no linked document has one.
-    Other columns stay; columns named like the results are replaced. An empty table gives no rows.
-
-    ``common_least`` and ``common_keep`` bound the broadcast table of common n-grams, and ``max_rounds`` how
-    often large lists are thinned before all remaining pairs are tested; none of them changes the result.
-    """
+def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_keep: int, max_rounds: int) -> DataFrame:
+    """``docs`` without text, with keys of the text (_k1, _k2), ``size`` and ``_comp``, a component's class."""
     spark = docs.sparkSession
     shelf = Shelf(spark)
-    docs = docs.drop("n_shingles", "component_id")
     texts = docs.select("text").where(F.length("text") > 0)
     common = spark.sparkContext.broadcast(_common(texts, n, common_least, common_keep))
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})
@@ -197,17 +185,36 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common
         rounds += 1
         if last_round:
             break
-    return _result(signed, labels)
+    rows = signed.drop("grp", "prefix")
+    comp = F.when(F.col("size") > 0, F.col("cls"))
+    if labels is not None:
+        rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        comp = F.when(F.col("size") > 0, F.coalesce("component", "cls"))
+    return rows.withColumn("_comp", comp).drop("cls", "component")
+
+
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 5) -> DataFrame:
+    """Adds n_shingles and component_id to ``docs`` (doc_id, text, ...); the text column goes.
+
+    Two documents link when the Jaccard similarity of their sets of distinct word n-grams is percent/100 or
+    more; component_id is the smallest doc_id that links lead to, the document's own included. A-Z count as
+    a-z, words are runs of anything but white space. A text of fewer than n words is one n-gram; without
+    words, or null, the set is empty and links with nothing. Repeated doc_ids and rows are documents of their
+    own. A null doc_id is larger than any other: its component_id is null only if no linked document has one.
+    Other columns stay; columns named like the results are replaced. An empty table gives no rows.
+
+    ``common_least`` and ``common_keep`` bound the broadcast table of common n-grams, and ``max_rounds`` how
+    often large lists are thinned before all remaining pairs are tested; none of them changes the result.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_shingles", "component_id")]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")  # one column, so no name can clash
+    out = _result(_clustered(docs.select("doc_id", "text", rest.alias("_rest")), n, percent, common_least, common_keep, max_rounds))
+    return out.select("doc_id", *[F.col(f"_rest.`{c}`").alias(c) for c in others], "n_shingles", "component_id")
 
 
 def _of(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """Texts of the needed keys. A bitmap of fixed size keeps most other texts out of the shuffle."""
-    buckets = 256  # of 32,768 bits: 1 MB in all, whatever the number of keys
-    place = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(buckets * 32768))
-    bitmap = needed.select((place / 32768).cast("long").alias("_bucket"), (place % 32768).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    near = texts.withColumns({"_bucket": (place / 32768).cast("long"), "_bit": place % 32768}).join(F.broadcast(bitmap), "_bucket")
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = near.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select("_k1", "_k2", "text")
+    near = _placed(texts).join(F.broadcast(_bitmap(needed)), "_bucket").where(_has_bit()).select("_k1", "_k2", "text")
     return near.join(needed, ["_k1", "_k2"]).select("cls", "text")
 
 
@@ -244,13 +251,52 @@ def _all_pairs(live: DataFrame, percent: int) -> DataFrame:
     return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
-def _result(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    docs = signed.drop("_k1", "_k2", "grp", "prefix")
-    comp = F.when(F.col("size") > 0, F.col("cls"))
-    if labels is not None:
-        docs = docs.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        comp = F.when(F.col("size") > 0, F.coalesce("component", "cls"))
-    docs = docs.withColumn("_comp", comp).drop("cls", "component")
-    least = docs.where("_comp IS NOT NULL").groupBy("_comp").agg(F.min("doc_id").alias("_least"))
-    docs = docs.join(least, "_comp", "left")
+def _result(rows: DataFrame) -> DataFrame:
+    least = rows.where("_comp IS NOT NULL").groupBy("_comp").agg(F.min("doc_id").alias("_least"))
+    docs = rows.drop("_k1", "_k2").join(least, "_comp", "left")
     return docs.withColumn("component_id", F.when(F.col("_comp").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).drop("_comp", "_least").withColumnRenamed("size", "n_shingles")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 5) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each component of ``similarity_components``.
+
+    The document with the smallest doc_id stays (among equal ids the one with the smallest hash of its text,
+    and one of equal rows). Documents without words link with nothing and all stay; all columns do.
+    """
+    shelf = Shelf(docs.sparkSession)
+    keys = ["doc_id", "_k1", "_k2"]
+    rows = _clustered(docs.select("doc_id", "text"), n, percent, common_least, common_keep, max_rounds).where("_comp IS NOT NULL")
+    each = rows.groupBy("_comp", *keys).agg(F.count("*").alias("copies"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *keys)
+    best = each.groupBy("_comp").agg(F.min(place).alias("best"))
+    each = each.join(best, "_comp").withColumn("stays", place == F.col("best"))
+    # most documents stay as they are and need no join; a bitmap tells which may not
+    changed = shelf.keep(each.where("NOT stays OR copies > 1").select(*keys, "stays"))
+    keyed = _placed(docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")}))
+    bitmap = _bitmap(changed)
+    marked = keyed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_maybe", F.col("_map").isNotNull() & _has_bit())
+    untouched = marked.where("NOT _maybe").select(*docs.columns)
+    on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_k1") == F.col("_c1"), F.col("_k2") == F.col("_c2")]
+    renamed = changed.select(F.col("doc_id").alias("_id"), F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2"), "stays")
+    checked = marked.where("_maybe").drop("_map", "_bucket", "_bit", "_maybe").join(renamed, on, "left").where("stays IS NULL OR stays")
+    single = checked.where("stays IS NULL").select(*docs.columns)
+    copies = checked.where("stays").dropDuplicates(keys).select(*docs.columns)
+    return untouched.unionByName(single).unionByName(copies)
+
+
+_BUCKETS = 256  # of 32,768 bits: a bitmap of 1 MB, whatever the number of keys
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds the bucket and bit of each row's key."""
+    place = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(_BUCKETS * 32768))
+    return rows.withColumns({"_bucket": (place / 32768).cast("long"), "_bit": place % 32768})
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    return _placed(keys.select("_k1", "_k2")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+
+
+def _has_bit() -> Column:
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
