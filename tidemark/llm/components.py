@@ -17,25 +17,39 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     pre-aggregated minima over the edge list; nothing is gathered in one task.
     """
     live = shelf.keep(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while not live.isEmpty():
+    labels, n = None, live.count()
+    while n:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = shelf.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-        for _ in range(2):
+        up = shelf.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), n)
+        for _ in range(3):
             step = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            last, up = up, shelf.keep(up.join(step, "up").select("node", F.col("next").alias("up")))
+            last, up = up, shelf.keep(up.join(step, "up").select("node", F.col("next").alias("up")), n)
             shelf.drop(last)
         a, b = (up.select(F.col("node").alias(x), F.col("up").alias(f"to_{x}")) for x in "ab")
-        last, live = live, shelf.keep(live.join(a, "a").join(b, "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        last, live = live, shelf.keep(live.join(a, "a").join(b, "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), n)
         shelf.drop(last)
         if labels is None:
-            labels = up
+            labels, most = up, n
         else:
             to = up.select(F.col("node").alias("up"), F.col("up").alias("to"))
-            last, labels = labels, shelf.keep(labels.join(to, "up", "left").select("node", F.coalesce("to", "up").alias("up")))
+            last, labels = labels, shelf.keep(labels.join(to, "up", "left").select("node", F.coalesce("to", "up").alias("up")), most)
             shelf.drop(last)
             shelf.drop(up)
+        n = live.count()
     shelf.drop(live)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     return labels.select("node", F.col("up").alias("component"))
+
+
+def merged(labels: DataFrame | None, edges: DataFrame, shelf: Shelf) -> DataFrame:
+    """``labels`` (node, component) after more ``edges`` (a, b): only the edges between components are contracted."""
+    if labels is None:
+        return components(edges, shelf)
+    a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    named = edges.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    named = shelf.keep(named)
+    joined = components(named.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), shelf).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component")))).alias("x")).select("x.*")
+    every = labels.unionByName(new).distinct()
+    return shelf.keep(every.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))

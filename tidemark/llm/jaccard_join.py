@@ -7,8 +7,8 @@
 2. Classes with an identical prefix and size collapse into one group, and only groups are listed under the
    n-grams of their prefixes. Lists with a single group vanish.
 3. The remaining groups expand into their classes. While the lists still hold many pairs, each class is
-   verified against one neighbour by size, and whatever is linked becomes one component: pairs inside a
-   component need no test, so a large group of copies costs about a pair a member, not all pairs. Then every
+   verified against three neighbours by size, and whatever is linked becomes one component: pairs inside a
+   component need no test, so a large group of copies costs a few pairs a member, not all pairs. Then every
    remaining pair of a list that passes the size filter and lies in two components is verified.
 4. Verification computes both sets from the whole texts and compares 100 * intersection >= 100 t * union in
    integers. A common n-gram of the prefixes is tested between all components, so no link is lost.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textops
-from tidemark.llm.components import components
+from tidemark.llm.components import merged
 from tidemark.llm.store import Shelf
 
 _STEP, _SHORT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
@@ -163,7 +163,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     rep_texts = shelf.keep(_of(keyed.select("_k1", "_k2", "text"), needed).dropDuplicates(["cls"]))
     shelf.drop(classes)
 
-    links, labels, tested = None, None, None
+    labels, tested = None, None
     total = lists.count()
     rounds = 0
     while total:
@@ -174,13 +174,13 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
             break
         live = live.join(per.select("list"), "list", "left_semi")
         last_round = left <= 6 * total or rounds >= max_rounds
-        pairs = _all_pairs(live, percent) if last_round else _neighbours(live, percent, 1 if rounds == 0 else 3, tested)
+        pairs = _all_pairs(live, percent) if last_round else _neighbours(live, percent, 3, tested)
         if tested is not None and last_round:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = shelf.keep(pairs)
         found = shelf.keep(_verified(pairs, rep_texts, n, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, shelf)
+        labels = merged(labels, found, shelf)
+        shelf.drop(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         rounds += 1
         if last_round:
@@ -193,7 +193,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     return rows.withColumn("_comp", comp).drop("cls", "component")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 5) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
     """Adds n_shingles and component_id to ``docs`` (doc_id, text, ...); the text column goes.
 
     Two documents link when the Jaccard similarity of their sets of distinct word n-grams is percent/100 or
@@ -219,7 +219,7 @@ def _of(texts: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _neighbours(live: DataFrame, percent: int, most: int, tested: DataFrame | None) -> DataFrame:
-    """For each class, the classes that stand before it by size in most of its lists, if linked by nothing yet."""
+    """For each class, ``most`` classes of other components that stand before it by size in most of its lists."""
     w = Window.partitionBy("list").orderBy("size", "cls")
     near = live.select("cls", "comp", "size", F.lag(F.struct("cls", "comp", "size")).over(w).alias("p"))
     near = near.where((F.col("p.comp") != F.col("comp")) & (100 * F.col("p.size") >= percent * F.col("size")))
@@ -257,7 +257,7 @@ def _result(rows: DataFrame) -> DataFrame:
     return docs.withColumn("component_id", F.when(F.col("_comp").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).drop("_comp", "_least").withColumnRenamed("size", "n_shingles")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one document of each component of ``similarity_components``.
 
     The document with the smallest doc_id stays (among equal ids the one with the smallest hash of its text,

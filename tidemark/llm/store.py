@@ -25,8 +25,10 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes a table and returns it as read back."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes a table and returns it as read back. ``rows``: about how many; small tables take few tasks."""
+        if rows is not None:
+            df = df.coalesce(max(4, min(rows // 100_000, int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
