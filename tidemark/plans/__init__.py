@@ -1 +1 @@
-"""."""
+"""Set expressions and the catalogue of registered queries."""

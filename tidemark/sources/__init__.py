@@ -1 +1 @@
-"""."""
+"""Stored sets: a manifest, an operation log, and a dictionary as Parquet."""
