@@ -20,11 +20,23 @@ KEY = ["event", "gran", "period_start", "period_key"]
 MAX_ID = 4_294_967_295
 
 
-def membership(facts: DataFrame, event: Column, id: Column, ts: Column | None = None, gran: str = "none", rollup: str = "none") -> DataFrame:
-    """Membership rows of a table of facts; ids outside 0..2**32-1 and null events, ids or times are left out."""
-    rows = facts.select(event.alias("event"), (F.lit(None).cast("timestamp") if ts is None else ts.cast("timestamp")).alias("ts"), id.cast("long").alias("id"))
+def membership(facts: DataFrame, event: Column, id: Column, ts: Column | None = None, gran: str = "none", rollup: str = "none", only: list[Ref] | None = None, repeats: bool = False) -> DataFrame:
+    """Membership rows of a table of facts; ids outside 0..2**32-1 and null events, ids or times are left out.
+
+    ``only``: the sets that a query refers to. Their events and the time from the first to the last of their
+    periods become conditions on the facts themselves, which a scan can prune by. ``repeats`` leaves facts of a
+    set repeated and saves a shuffle, for operators that don't count rows: expressions, unions, bitmaps.
+    """
+    rows = facts.select(event.alias("event"), (F.lit(None).cast("timestamp") if ts is None else ts).alias("ts"), id.cast("long").alias("id"))
+    if only:
+        rows = rows.where(F.col("event").isin(sorted({r.event for r in only})))
+        timed = [r.period for r in only if r.period.rank]
+        if ts is not None and len(timed) == len(only):
+            low, high = min(p.start for p in timed), max(p.close_boundary() for p in timed)
+            rows = rows.where((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.timestamp_seconds(F.lit(high))))
     rows = rows.where(F.col("event").isNotNull() & F.col("id").between(0, MAX_ID) & (F.lit(gran == "none") | F.col("ts").isNotNull()))
-    return rows.select("event", F.inline(P.levels(F.col("ts"), gran, rollup)), "id").select(*KEY, "id").distinct()
+    rows = rows.select("event", F.inline(P.levels(F.col("ts"), gran, rollup)), "id").select(*KEY, "id")
+    return rows if repeats else rows.distinct()
 
 
 def get(members: DataFrame, event: str, period: Period) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import periods as P
 from tidemark.functions.periods import Period
 from tidemark.operators import bitmaps, dictionary, oplog, sets
-from tidemark.plans.expr import Diff, Ref, evaluate
+from tidemark.plans.expr import Diff, Ref, SetExpr, evaluate, refs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +44,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def me(spark: SparkSession, sf_dir: str, gran: str = "day", rollup: str = "none") -> DataFrame:
-    return sets.membership(read(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id"), F.col("ts"), gran, rollup)
+def me(spark: SparkSession, sf_dir: str, gran: str = "day", rollup: str = "none", only: list[Ref] | None = None, repeats: bool = False) -> DataFrame:
+    return sets.membership(read(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id"), F.col("ts"), gran, rollup, only, repeats)
+
+
+def asked(spark: SparkSession, sf_dir: str, expr: SetExpr) -> DataFrame:
+    """The facts of ME that an expression refers to, repeats and all."""
+    return me(spark, sf_dir, only=refs(expr), repeats=True)
 
 
 def mo(spark: SparkSession, sf_dir: str, gran: str = "year") -> DataFrame:
@@ -88,7 +93,7 @@ def nested() -> Ref:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate(me(spark, sf_dir), nested())
+    return evaluate(asked(spark, sf_dir, nested()), nested())
 
 
 # reads
@@ -96,7 +101,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW)
 def get_day(spark, sf_dir):
-    return sets.get(me(spark, sf_dir), "view", DAY)
+    return sets.get(me(spark, sf_dir, only=[Ref("view", DAY)]), "view", DAY)
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -159,7 +164,7 @@ def cardinality_all(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n FROM ({CLICK})")
 def cardinality_one(spark, sf_dir):
-    return sets.cardinality_of(me(spark, sf_dir), "click", DAY)
+    return sets.cardinality_of(me(spark, sf_dir, only=[Ref("click", DAY)]), "click", DAY)
 
 
 @query(f"SELECT k AS period_key, count(*) AS n FROM ({_ME}) WHERE event = 'view' AND k BETWEEN '2024-01-03' AND '2024-01-12' GROUP BY ALL")
@@ -169,17 +174,19 @@ def cardinality_range_day(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y-%m-%dT%H') AS period_key, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'view' AND ts >= '2024-01-05 22:00' AND ts < '2024-01-06 04:00' GROUP BY ALL")
 def cardinality_range_hour(spark, sf_dir):
-    return sets.cardinality_range(me(spark, sf_dir, "hour"), "view", *HOUR_RANGE).select("period_key", "n")
+    return sets.cardinality_range(me(spark, sf_dir, "hour", only=[Ref("view", p) for p in HOUR_RANGE]), "view", *HOUR_RANGE).select("period_key", "n")
 
 
 @query(f"SELECT count(*) AS n FROM (({VIEW}) INTERSECT ({CLICK}))")
 def intersect_card(spark, sf_dir):
-    return sets.intersect_cardinality(me(spark, sf_dir), Ref("view", DAY), Ref("click", DAY))
+    a, b = Ref("view", DAY), Ref("click", DAY)
+    return sets.intersect_cardinality(asked(spark, sf_dir, a & b), a, b)
 
 
 @query(f"SELECT count(*) AS n FROM (({VIEW}) UNION ({CLICK}))")
 def union_card(spark, sf_dir):
-    return sets.union_cardinality(me(spark, sf_dir), Ref("view", DAY), Ref("click", DAY))
+    a, b = Ref("view", DAY), Ref("click", DAY)
+    return sets.union_cardinality(asked(spark, sf_dir, a | b), a, b)
 
 
 @query("SELECT count(*) AS n FROM ((SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997) INTERSECT (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
@@ -196,12 +203,12 @@ _WEEK_KEYS = [Ref("view", d) for d in WEEK]
 
 @query(_UNION_WEEK)
 def union_many(spark, sf_dir):
-    return sets.union_cardinality_many(me(spark, sf_dir), _WEEK_KEYS)
+    return sets.union_cardinality_many(me(spark, sf_dir, only=_WEEK_KEYS, repeats=True), _WEEK_KEYS)
 
 
 @query(_INTERSECT_WEEK)
 def intersect_many(spark, sf_dir):
-    return sets.intersect_cardinality_many(me(spark, sf_dir), [*_WEEK_KEYS, _WEEK_KEYS[0]])
+    return sets.intersect_cardinality_many(me(spark, sf_dir, only=_WEEK_KEYS), [*_WEEK_KEYS, _WEEK_KEYS[0]])
 
 
 @query("SELECT 0::BIGINT AS n")
@@ -211,12 +218,12 @@ def union_many_of_none(spark, sf_dir):
 
 @query(_UNION_WEEK)
 def union_many_bitmap(spark, sf_dir):
-    return bitmaps.union_cardinality_many(bitmaps.build_buckets(me(spark, sf_dir)), _WEEK_KEYS)
+    return bitmaps.union_cardinality_many(bitmaps.build_buckets(me(spark, sf_dir, only=_WEEK_KEYS, repeats=True)), _WEEK_KEYS)
 
 
 @query(_INTERSECT_WEEK)
 def intersect_many_bitmap(spark, sf_dir):
-    return bitmaps.intersect_cardinality_many(bitmaps.build_buckets(me(spark, sf_dir)), _WEEK_KEYS)
+    return bitmaps.intersect_cardinality_many(bitmaps.build_buckets(me(spark, sf_dir, only=_WEEK_KEYS, repeats=True)), _WEEK_KEYS)
 
 
 @query("SELECT c_mktsegment AS event, c_custkey AS id FROM customer")
@@ -229,17 +236,20 @@ def bitmap_round_trip(spark, sf_dir):
 
 @query(f"({VIEW}) INTERSECT ({CLICK})")
 def expr_and(spark, sf_dir):
-    return evaluate(me(spark, sf_dir), Ref("view", DAY) & Ref("click", DAY))
+    expr = Ref("view", DAY) & Ref("click", DAY)
+    return evaluate(asked(spark, sf_dir, expr), expr)
 
 
 @query(f"({VIEW}) UNION ({CLICK})")
 def expr_or(spark, sf_dir):
-    return evaluate(me(spark, sf_dir), Ref("view", DAY) | Ref("click", DAY))
+    expr = Ref("view", DAY) | Ref("click", DAY)
+    return evaluate(asked(spark, sf_dir, expr), expr)
 
 
 @query(f"({VIEW}) EXCEPT ({CLICK})")
 def expr_diff(spark, sf_dir):
-    return evaluate(me(spark, sf_dir), Ref("view", DAY) - Ref("click", DAY))
+    expr = Ref("view", DAY) - Ref("click", DAY)
+    return evaluate(asked(spark, sf_dir, expr), expr)
 
 
 @query(_NESTED)
@@ -257,7 +267,7 @@ def expr_orders_segment(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n FROM ({_NESTED})")
 def expr_cardinality(spark, sf_dir):
-    return sets.expression_cardinality(me(spark, sf_dir), nested())
+    return sets.expression_cardinality(asked(spark, sf_dir, nested()), nested())
 
 
 @query(f"({VIEW}) INTERSECT ({CLICK})", "raw_intersect")
