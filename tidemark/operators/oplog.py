@@ -29,9 +29,11 @@ def interval_buckets(intervals: DataFrame, first: Column, last: Column, gran: st
     ``within``: (start, end) of the buckets wanted; intervals that miss them are dropped before they expand.
     Reversed intervals have no buckets.
     """
+    if within is not None:  # plain comparisons first, which reach the scan
+        low, high = (F.lit(x).cast("timestamp") for x in within)
+        intervals = intervals.where((last >= low) & (first < high + F.expr(f"INTERVAL 1 {gran.upper()}")))
     rows = intervals.withColumns({"_a": F.date_trunc(gran, first), "_b": F.date_trunc(gran, last)})
     if within is not None:
-        low, high = (F.lit(x).cast("timestamp") for x in within)
         rows = rows.withColumns({"_a": F.greatest("_a", low), "_b": F.least("_b", high)})
     rows = rows.where(F.col("_a") <= F.col("_b")).withColumn("_ts", F.explode(P.buckets_between(F.col("_a"), F.col("_b"), gran)))
     rows = rows.select(*intervals.columns, F.inline(P.levels(F.col("_ts"), gran, rollup)))
