@@ -67,10 +67,23 @@ def _common(texts: DataFrame, n: int, least: int, keep: int) -> np.ndarray:
     """At most ``keep`` n-grams that occur often, rarest first. Any choice gives right results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.small_batches(batches, 2048):
-            distinct = {s.tobytes(): s for s in shingle_sets(batch.column(0), n)}
-            h, c = np.unique(np.concatenate([np.empty(0, np.uint64), *distinct.values()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1], pa.int64())], names=["h", "c"])
+        held: dict[bytes, np.ndarray] = {}  # distinct sets, up to about four million n-grams at a time
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held.values()]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1], pa.int64())], names=["h", "c"])
+
+        for batch in textops.small_batches(batches):
+            for s in shingle_sets(batch.column(0), n):
+                key = _set_hash(s)
+                if key not in held:
+                    held[key] = s
+                    size += len(s)
+            if size > 4_000_000:
+                yield out()
+                held, size = {}, 0
+        yield out()
 
     counts = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     top = counts.orderBy(F.desc("c"), "h").limit(keep).toPandas()
@@ -193,7 +206,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     return rows.withColumn("_comp", comp).drop("cls", "component")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
     """Adds n_shingles and component_id to ``docs`` (doc_id, text, ...); the text column goes.
 
     Two documents link when the Jaccard similarity of their sets of distinct word n-grams is percent/100 or
@@ -257,7 +270,7 @@ def _result(rows: DataFrame) -> DataFrame:
     return docs.withColumn("component_id", F.when(F.col("_comp").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).drop("_comp", "_least").withColumnRenamed("size", "n_shingles")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 16, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one document of each component of ``similarity_components``.
 
     The document with the smallest doc_id stays (among equal ids the one with the smallest hash of its text,
