@@ -185,3 +185,23 @@ def test_ingest_replays_nothing_and_keeps_late_facts(spark, path, tmp_path):
     assert ids(s.get("e", DAY)) == {1, 9} and ids(s.get("f", H[1])) == {3}
     before = s.manifest["next_seq"]
     assert not write_batch(s, "test", spark.read.parquet(str(tmp_path / "in/a")), 0) and s.manifest["next_seq"] == before
+
+
+def test_dictionary_alone_shares_ids_with_the_store(spark, path):
+    from tidemark.sources.dictionary_store import Dictionary
+
+    d = Dictionary(spark, path)
+    assert d.is_empty() and d.get_or_assign_batch(["a", "b"]) == [0, 1] and d.get_or_assign("b") == 1
+    u = uuid.uuid4()
+    assert d.get_or_assign_uuid(str(u).upper()) == 2 and d.lookup_uuid(u) == 2 and d.resolve_uuid(2) == u and d.resolve_uuid(0) is None
+    assert d.delete("a") == 0 and d.delete("a") is None and not d.contains("a") and len(d) == 2
+    assert d.resolved_pairs([0, 1, 9]) == {1: "b"}
+    d.close()
+    s = hourly(spark, path)
+    s.put_ids("e", H[0], ["a", "b"])
+    assert ids(s.get("e", H[0])) == {1, 3}
+    s.pin()
+    assert ids(s.get("e", H[0])) == {1, 3}
+    s.put("e", H[0], [8])
+    assert ids(s.get("e", H[0])) == {1, 3, 8}
+    s.unpin()

@@ -120,6 +120,7 @@ class Store:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.path, self.files, self.is_closed = path.rstrip("/"), Files(spark, path), False
         self.pending: list[tuple[str, Period | None, DataFrame, int]] = []
+        self._pinned: tuple[tuple, DataFrame] | None = None
         if self.files.exists(MANIFEST):
             self.manifest = self._load()
         elif c.read_only:
@@ -411,9 +412,9 @@ class Store:
             live = live.join(self._read(self.manifest["deleted"], "id long"), "id", "left_anti").select("ext_id", "id")
         return live
 
-    def _save(self, df: DataFrame) -> str:
+    def _save(self, df: DataFrame, **options: str) -> str:
         place = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{place}")
+        df.write.options(**options).parquet(f"{self.path}/{place}")
         return place
 
     def _assigned(self, names: Names) -> DataFrame:
@@ -477,10 +478,26 @@ class Store:
     def members(self) -> DataFrame:
         """The current state of every set, the buffer included."""
         self._check()
+        version = (self.manifest["next_seq"], len(self.pending))
+        if self._pinned and self._pinned[0] == version:
+            return self._pinned[1]
         return oplog.fold(self._ops(), self._barriers())
 
+    def pin(self) -> DataFrame:
+        """Keeps the current state of every set in memory, spilling to disk, until the next write."""
+        self.unpin()
+        self._pinned = ((self.manifest["next_seq"], len(self.pending)), self.members().persist())
+        return self._pinned[1]
+
+    def unpin(self) -> None:
+        if self._pinned:
+            self._pinned[1].unpersist()
+            self._pinned = None
+
     def _members_of(self, event: str) -> DataFrame:
         self._check()
+        if self._pinned and self._pinned[0] == (self.manifest["next_seq"], len(self.pending)):
+            return self._pinned[1]
         return oplog.fold(self._ops().where(F.col("event") == event), self._barriers())
 
     def get(self, event: str, period: Period) -> DataFrame:
@@ -673,7 +690,7 @@ class Store:
         as_of = self.manifest["next_seq"] - 1
         folded = oplog.fold(ops.where(inside), barriers).select(F.lit(as_of).cast("long").alias("op_seq"), F.lit("put").alias("op"), *oplog.KEY, "id")
         # an id of a key occurs once in the folded log, so the old order among calls no longer matters
-        place = self._save(oplog.alive(ops.where(~inside), barriers).unionByName(folded).repartition("event", "gran", "period_key").sortWithinPartitions("event", "gran", "period_key", "id"))
+        place = self._save(oplog.alive(ops.where(~inside), barriers).unionByName(folded).repartition("event", "gran", "period_key").sortWithinPartitions("event", "gran", "period_key", "id"), **{"parquet.bloom.filter.enabled#id": "true"})
         counts = self._read([place], oplog.OPS).where(inside).groupBy("event", "gran", "period_key").agg(F.count("*").alias("n")).withColumn("as_of_seq", F.lit(as_of).cast("long"))
         self.manifest["stats"] = self._save(counts)
         self.manifest["ops"] = [place]
