@@ -63,8 +63,8 @@ def _set_hash(s: np.ndarray) -> bytes:
     return np.array([both[0] ^ sums[0], both[1] + sums[1]], np.uint64).tobytes()
 
 
-def _common(texts: DataFrame, n: int, least: int, keep: int) -> np.ndarray:
-    """At most ``keep`` n-grams that occur often, rarest first. Any choice gives right results."""
+def _common(texts: DataFrame, n: int, least: int, keep: int, shelf: Shelf) -> np.ndarray:
+    """At most ``keep`` n-grams that occur most often, rarest first. Any choice gives right results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}  # distinct sets, up to about four million n-grams at a time
@@ -85,8 +85,17 @@ def _common(texts: DataFrame, n: int, least: int, keep: int) -> np.ndarray:
                 held, size = {}, 0
         yield out()
 
-    counts = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    top = counts.orderBy(F.desc("c"), "h").limit(keep).toPandas()
+    counts = shelf.keep(texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+    # a row for each different count tells from which count on they fit
+    sizes = sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True)
+    cut, total = None, 0
+    for c, size in sizes:
+        total += size
+        if total > keep:
+            break
+        cut = c
+    top = counts.where(F.col("c") >= (cut if cut is not None else F.lit(2**62))).toPandas()
+    shelf.drop(counts)
     return top.sort_values(["c", "h"])["h"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -154,7 +163,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     spark = docs.sparkSession
     shelf = Shelf(spark)
     texts = docs.select("text").where(F.length("text") > 0)
-    common = spark.sparkContext.broadcast(_common(texts, n, common_least, common_keep))
+    common = spark.sparkContext.broadcast(_common(texts, n, common_least, common_keep, shelf))
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})
     signed = shelf.keep(_signatures(keyed, n, percent, common))
 
