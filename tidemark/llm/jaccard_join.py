@@ -6,12 +6,12 @@
    n-grams seen often moved to the end, so that common passages don't fill the prefixes.
 2. Classes with an identical prefix and size collapse into one group, and only groups are listed under the
    n-grams of their prefixes. Lists with a single group vanish.
-3. The remaining groups expand into their classes. While the lists still hold many pairs, each class is
-   verified against three neighbours by size, and whatever is linked becomes one component: pairs inside a
-   component need no test, so a large group of copies costs a few pairs a member, not all pairs. Then every
-   remaining pair of a list that passes the size filter and lies in two components is verified.
+3. The remaining groups expand into their classes. Where the lists hold many more pairs than rows, each class
+   is first verified against three neighbours by size, and whatever is linked becomes one component: pairs
+   inside a component need no test. Then every remaining pair of a list is verified that lies in two
+   components, passes the size filter, and stands early enough in both prefixes.
 4. Verification computes both sets from the whole texts and compares 100 * intersection >= 100 t * union in
-   integers. A common n-gram of the prefixes is tested between all components, so no link is lost.
+   integers. Any two similar sets in different components meet in some list, so no link is lost.
 
 N-grams are compared by 64-bit hashes of their words, sets of classes by 128-bit hashes.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,20 +135,42 @@ def _signatures(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
     return docs.mapInArrow(run, made)
 
 
+#: Classes of one list that a block of verification holds on either side.
+_BLOCK = 256
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts' sets are similar enough."""
-    a, b = (texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    """Those of ``pairs`` (a, b, at: one of their lists and its length) whose texts' sets are similar enough.
+
+    Pairs of one list are verified together, so a text is sent once for all of them; long lists fall into
+    blocks of about _BLOCK x _BLOCK classes. Each block's texts stream in before its pairs.
+    """
+    side = lambda x: F.pmod(F.xxhash64(x), F.ceil(F.col("at.m") / _BLOCK)).cast("int")
+    key = ["list", "ka", "kb"]
+    keyed = pairs.select("a", "b", F.col("at.list").alias("list"), side("a").alias("ka"), side("b").alias("kb"))
+    needed = keyed.select(*key, F.explode(F.array("a", "b")).alias("cls")).distinct()
+    rows = needed.join(texts, "cls").select(*key, F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+    rows = rows.unionByName(keyed.select(*key, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, {}
         for batch in textops.small_batches(batches, 512):
-            left = batch.column("text_a").dictionary_encode()
-            own = shingle_sets(left.dictionary, n)
-            keep = []
-            for k, s in zip(left.indices.to_pylist(), shingle_sets(batch.column("text_b"), n), strict=True):
-                same = len(np.intersect1d(own[k], s, assume_unique=True))
-                keep.append(100 * same >= percent * (len(own[k]) + len(s) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            is_text = pa.compute.equal(batch.column("kind"), 0)
+            sets = iter(shingle_sets(batch.column("text").filter(is_text), n))
+            good_a, good_b = [], []
+            for *here, kind, a, b in zip(*(batch.column(c).to_pylist() for c in (*key, "kind", "a", "b")), strict=True):
+                if here != block:
+                    block, held = here, {}
+                if kind == 0:
+                    held[a] = next(sets)
+                    continue
+                x, y = held[a], held[b]
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    good_a.append(a)
+                    good_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.binary()), pa.array(good_b, pa.binary())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
 
@@ -167,7 +190,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})
     signed = shelf.keep(_signatures(keyed, n, percent, common))
 
-    posted = signed.where(F.size("prefix") > 0).select("grp", "size", F.explode("prefix").alias("list"))
+    posted = signed.where(F.size("prefix") > 0).select("grp", "size", F.posexplode("prefix").alias("pos", "list"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     groups = posted.repartition(int(parts), "list").distinct()
     shared = shelf.keep(groups.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1").drop("m"))
@@ -175,10 +198,10 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     # groups expand into their classes; a group of several classes is a list of its own
     several = classes.groupBy("grp").count().where("count > 1").select("grp")
     lists = shelf.keep(
-        shared.select("list", "grp")
+        shared.select("list", "grp", "pos")
         .join(classes.select("grp", "cls", "size"), "grp")
-        .select("list", "cls", "size", F.lit(1).cast("long").alias("weight"))
-        .unionByName(classes.join(several, "grp", "left_semi").select(F.col("grp").alias("list"), "cls", "size", _prefix(F.col("size"), percent).alias("weight")))
+        .select("list", "cls", "size", "pos")
+        .unionByName(classes.join(several, "grp", "left_semi").select(F.col("grp").alias("list"), "cls", "size", F.lit(0).alias("pos")))
     )
     shelf.drop(shared)
     needed = lists.select("cls").distinct().join(classes.select("cls", "k"), "cls").select("cls", F.col("k._k1").alias("_k1"), F.col("k._k2").alias("_k2"))
@@ -187,24 +210,21 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
 
     labels, tested = None, None
     total = lists.count()
-    rounds = 0
-    while total:
-        live = _labelled(lists, labels)
+    for rounds in range(max_rounds + 1):
+        live = shelf.keep(_labelled(lists, labels))
         per = live.groupBy("list", "comp").count().groupBy("list").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("mm"), F.count("*").alias("comps")).where("comps > 1")
         left = per.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()["pairs"]
-        if not left:
-            break
-        live = live.join(per.select("list"), "list", "left_semi")
-        last_round = left <= 6 * total or rounds >= max_rounds
-        pairs = _all_pairs(live, percent) if last_round else _neighbours(live, percent, 3, tested)
-        if tested is not None and last_round:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shelf.keep(pairs)
-        found = shelf.keep(_verified(pairs, rep_texts, n, percent))
-        labels = merged(labels, found, shelf)
-        shelf.drop(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        rounds += 1
+        last_round = left <= 6 * total or rounds == max_rounds
+        if left:
+            live_lists = live.join(per.select("list", "m"), "list")
+            pairs = _all_pairs(live_lists, percent) if last_round else _neighbours(live_lists, percent, 3)
+            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = shelf.keep(pairs)
+            found = shelf.keep(_verified(pairs, rep_texts, n, percent))
+            labels = merged(labels, found, shelf)
+            shelf.drop(found)
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        shelf.drop(live)
         if last_round:
             break
     rows = signed.drop("grp", "prefix")
@@ -215,7 +235,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     return rows.withColumn("_comp", comp).drop("cls", "component")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 1) -> DataFrame:
     """Adds n_shingles and component_id to ``docs`` (doc_id, text, ...); the text column goes.
 
     Two documents link when the Jaccard similarity of their sets of distinct word n-grams is percent/100 or
@@ -240,37 +260,30 @@ def _of(texts: DataFrame, needed: DataFrame) -> DataFrame:
     return near.join(needed, ["_k1", "_k2"]).select("cls", "text")
 
 
-def _neighbours(live: DataFrame, percent: int, most: int, tested: DataFrame | None) -> DataFrame:
+def _neighbours(live: DataFrame, percent: int, most: int) -> DataFrame:
     """For each class, ``most`` classes of other components that stand before it by size in most of its lists."""
     w = Window.partitionBy("list").orderBy("size", "cls")
-    near = live.select("cls", "comp", "size", F.lag(F.struct("cls", "comp", "size")).over(w).alias("p"))
+    near = live.select("cls", "comp", "size", F.struct("list", "m").alias("at"), F.lag(F.struct("cls", "comp", "size")).over(w).alias("p"))
     near = near.where((F.col("p.comp") != F.col("comp")) & (100 * F.col("p.size") >= percent * F.col("size")))
-    near = near.groupBy("cls", F.col("p.cls").alias("other")).count().select("cls", "other", "count", F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"))
-    if tested is not None:
-        near = near.join(tested, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "other"))
-    return near.withColumn("r", rank).where(F.col("r") <= most).select("a", "b").distinct()
-
-
-def _prefix(size: Column, percent: int) -> Column:
-    """Length of the prefix of a set."""
-    return (size - F.ceil(percent * size / 100) + 1).cast("long")
+    near = near.groupBy("cls", F.col("p.cls").alias("other")).agg(F.count("*").alias("shared"), F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("shared"), "other"))
+    near = near.withColumn("r", rank).where(F.col("r") <= most).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"), "at")
+    return near.groupBy("a", "b").agg(F.min("at").alias("at"))
 
 
 def _all_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Every pair in two components that sizes and the n-grams shared by the prefixes allow to be similar.
+    """Every pair in two components that sizes and places in the prefixes allow to be similar.
 
-    Up to the end of the prefix that ends first, two sets have just those n-grams in common that both prefixes
-    list; from there on, no more than what the other n-grams of that set allow. So the intersection is at most
-    the shared ones plus the larger of the two remainders.
+    Similar sets share at least t / (1 + t) of the sum of their sizes. Of what they share, the first n-gram in
+    the common order stands in both so early that as many others can follow; so a pair is taken from such
+    lists alone.
     """
-    x = live.select("list", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), "weight")
-    y = live.select("list", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
-    on = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
-    pairs = x.join(y, "list").where(on).groupBy("a", "b", "size_a", "size_b").agg(F.sum("weight").alias("shared"))
-    rest = F.greatest(F.col("size_a") - _prefix(F.col("size_a"), percent), F.col("size_b") - _prefix(F.col("size_b"), percent))
-    # intersection >= t / (1 + t) * (size_a + size_b)
-    return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    x = live.select("list", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), "m")
+    y = live.select("list", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    least = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent) - 1e-9)
+    early = (F.col("size_a") - F.col("pos_a") >= least) & (F.col("size_b") - F.col("pos_b") >= least)
+    on = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")) & early
+    return x.join(y, "list").where(on).groupBy("a", "b").agg(F.min(F.struct("list", "m")).alias("at"))
 
 
 def _result(rows: DataFrame) -> DataFrame:
@@ -279,7 +292,7 @@ def _result(rows: DataFrame) -> DataFrame:
     return docs.withColumn("component_id", F.when(F.col("_comp").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).drop("_comp", "_least").withColumnRenamed("size", "n_shingles")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, common_least: int = 4, common_keep: int = 500_000, max_rounds: int = 1) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one document of each component of ``similarity_components``.
 
     The document with the smallest doc_id stays (among equal ids the one with the smallest hash of its text,
