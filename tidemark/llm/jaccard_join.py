@@ -175,9 +175,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("cls"))
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``lists`` with each class's component so far."""
     return lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
 
@@ -194,6 +193,8 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     groups = posted.repartition(int(parts), "list").distinct()
     shared = shelf.keep(groups.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1").drop("m"))
+    whole, signed = signed, shelf.keep(signed.drop("prefix"))
+    shelf.drop(whole)
     classes = shelf.keep(signed.where("size > 0").groupBy("cls").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("grp").alias("grp"), F.first("size").alias("size")))
     # groups expand into their classes; a group of several classes is a list of its own
     several = classes.groupBy("grp").count().where("count > 1").select("grp")
@@ -211,7 +212,7 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
     labels, tested = None, None
     total = lists.count()
     for rounds in range(max_rounds + 1):
-        live = shelf.keep(_labelled(lists, labels))
+        live = lists.withColumn("comp", F.col("cls")) if labels is None else shelf.keep(_labelled(lists, labels))
         per = live.groupBy("list", "comp").count().groupBy("list").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("mm"), F.count("*").alias("comps")).where("comps > 1")
         left = per.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()["pairs"]
         last_round = left <= 6 * total or rounds == max_rounds
@@ -224,10 +225,13 @@ def _clustered(docs: DataFrame, n: int, percent: int, common_least: int, common_
             labels = merged(labels, found, shelf)
             shelf.drop(found)
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        shelf.drop(live)
+        if hasattr(live, "_shelf_path"):
+            shelf.drop(live)
         if last_round:
             break
-    rows = signed.drop("grp", "prefix")
+    shelf.drop(lists)
+    shelf.drop(rep_texts)
+    rows = signed.drop("grp")
     comp = F.when(F.col("size") > 0, F.col("cls"))
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
