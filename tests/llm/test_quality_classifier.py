@@ -41,6 +41,6 @@ def test_logistic_finds_the_optimum():
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 5))
     y = (x @ np.arange(5) + r.normal(size=300) > 0).astype(float)
-    m = qc.Logistic(1.0).fit(x, y, np.ones(300))
+    m = qc.Logistic(1.0).fit(np.hstack([x, np.ones((300, 1))]), y, np.ones(300))
     p = 1 / (1 + np.exp(-m.odds(x)))
     assert np.abs(x.T @ (p - y) + m.w[:-1]).max() == pytest.approx(0, abs=1e-3)

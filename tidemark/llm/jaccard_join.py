@@ -95,9 +95,10 @@ def _common(texts: DataFrame, n: int, least: int, keep: int, shelf: Shelf) -> np
         if total > keep:
             break
         cut = c
-    top = counts.where(F.col("c") >= (cut if cut is not None else F.lit(2**62))).toPandas()
+    top = counts.where(F.col("c") >= (cut if cut is not None else F.lit(2**62))).toArrow()
     shelf.drop(counts)
-    return top.sort_values(["c", "h"])["h"].to_numpy(np.int64).view(np.uint64)
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    return h[np.lexsort((h, c))].view(np.uint64)
 
 
 def _signatures(docs: DataFrame, n: int, percent: int, common) -> DataFrame:

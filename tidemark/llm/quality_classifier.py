@@ -96,7 +96,7 @@ class Logistic:
         self.strength = strength
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+        """``x`` has a last column of ones. Rows of weight 0 count for nothing, so a part needs no copy."""
         w = np.zeros(x.shape[1], x.dtype)
         y, weight = y.astype(x.dtype), weight.astype(x.dtype)
         ridge = np.full(len(w), self.strength, x.dtype)
@@ -123,6 +123,7 @@ class Logistic:
         return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of rows without the column of ones."""
         return x @ self.w[:-1] + self.w[-1]
 
 
@@ -139,37 +140,45 @@ def _sure(odds: np.ndarray, free: np.ndarray, share: float, rate: float) -> tupl
 class CoTrained:
     """Both models and their calibration."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 3):
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, rounds: int = 3):
+        """``views`` hold all rows of the sample with a last column of ones, labelled or not; ``y`` is 0, 1 or,
+        where there is no label, NaN."""
         self.trivial = None
-        if len(y) < 8 or len(set(y.tolist())) < 2:
-            self.trivial = float(np.mean(y)) if len(y) else 0.5
+        labelled = np.flatnonzero(~np.isnan(y))
+        own = y[labelled]
+        if len(own) < 8 or len(set(own.tolist())) < 2:
+            self.trivial = float(np.mean(own)) if len(own) else 0.5
             return
-        held = np.arange(len(y)) % 4 == 3  # rows come in hash order
-        rate = float(y.mean())
+        held = labelled[3::4]  # rows come in hash order
+        rate = float(own.mean())
+        start = ~np.isnan(y)
+        start[held] = False
+        pool = np.isnan(y)
         taught = [{}, {}]
         for k in range(rounds + 1):
             models = []
             for v in range(2):
-                rows = sorted(taught[v])
-                x = np.vstack([views[v][~held], pool[v][rows]])
-                labels = np.concatenate([y[~held], [taught[v][i] for i in rows]])
-                models.append(Logistic().fit(x, labels, np.concatenate([np.ones((~held).sum()), np.full(len(rows), 0.5)])))
-            if k == rounds or not len(pool[0]):
+                labels, weight = np.where(start, y, 0.0), start.astype(np.float64)
+                for row, label in taught[v].items():
+                    labels[row], weight[row] = label, 0.5
+                models.append(Logistic().fit(views[v], labels, weight))
+            if k == rounds or not pool.any():
                 break
             for v in range(2):
-                free = np.ones(len(pool[v]), bool)
+                free = pool.copy()
                 free[list(taught[1 - v])] = False
-                bad, good = _sure(models[v].odds(pool[v]), free, 0.15, rate)
+                bad, good = _sure(views[v] @ models[v].w, free, 0.15, rate)
                 taught[1 - v] |= dict.fromkeys(bad.tolist(), 0.0) | dict.fromkeys(good.tolist(), 1.0)
         self.models, self.prior = models, np.log(rate / (1 - rate))
         # Platt scaling of each view on the rows set aside
-        self.scale = [Logistic(0.01).fit(models[v].odds(views[v][held])[:, None], y[held], np.ones(held.sum())).w for v in range(2)]
+        ones = np.ones(len(held))
+        self.scale = [Logistic(0.01).fit(np.stack([views[v][held] @ models[v].w, ones], axis=1), y[held], ones).w for v in range(2)]
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Probabilities of good quality: by content, by metadata, by both."""
         if self.trivial is not None:
             return np.full((len(content), 3), self.trivial)
-        a, b = (np.clip(m.odds(x.astype(np.float64)) * s[0] + s[1], -30, 30) for m, x, s in zip(self.models, (content, meta), self.scale, strict=True))
+        a, b = (np.clip(m.odds(x.astype(np.float32)) * s[0] + s[1], -30, 30) for m, x, s in zip(self.models, (content, meta), self.scale, strict=True))
         return 1 / (1 + np.exp(-np.clip(np.stack([a, b, a + b - self.prior], axis=1), -30, 30)))
 
 
@@ -207,13 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 50
     found = _features(near.select("doc_id", "text", "source", "lang", "quality").withColumn("quality", F.col("quality").cast("double")), ["doc_id", "quality"])
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "content", "meta").toArrow()
 
-    def view(name: str, width: int, keep: np.ndarray) -> np.ndarray:
-        flat = np.frombuffer(b"".join(got[name].to_pylist()), np.float16).reshape(-1, width)
-        return flat[keep].astype(np.float32)
+    y = np.array([np.nan if x is None else float(x > 0) for x in got["quality"].to_pylist()])
 
-    has = np.array(got["quality"].is_valid().to_pylist(), bool)
-    y = (np.array([x for x in got["quality"].to_pylist() if x is not None]) > 0).astype(np.float64)
-    return CoTrained((view("content", CONTENT, has), view("meta", META, has)), y, (view("content", CONTENT, ~has), view("meta", META, ~has)), rounds)
+    def view(name: str, width: int) -> np.ndarray:
+        out = np.ones((len(y), width + 1), np.float32)
+        at = 0
+        for chunk in got[name].chunks:  # a batch at a time, so that there is one copy
+            for x in chunk:
+                out[at, :width] = np.frombuffer(x.as_buffer(), np.float16)
+                at += 1
+        return out
+
+    return CoTrained((view("content", CONTENT), view("meta", META)), y, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) -> DataFrame:
