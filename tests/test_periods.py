@@ -73,3 +73,29 @@ def test_columns_mirror_values(spark):
     for x in rows:
         p = Period.at(x.gran, moments[x.i])
         assert (x.period_key, x.closed, x.rank, x.valid) == (p.key, p.is_closed(now), p.rank, True)
+
+
+def test_interval_counts_of_whole_intervals(spark):
+    from tidemark.operators import oplog, sets
+    from tidemark.plans import catalogue
+
+    r, start = random.Random(4), datetime(1995, 1, 1)
+    rows = []
+    for i in range(120):
+        a = start + timedelta(days=r.randrange(2400), hours=r.randrange(24))
+        rows.append((r.choice("xy"), r.randrange(12), a, a + timedelta(days=r.choice((-1, 0, 1, 30, 41, 400, 2478)), hours=r.randrange(24))))
+    want = {}
+    for event, i, a, b in rows:
+        day = a.replace(hour=0)
+        while day <= b:
+            for gran, form in (("day", "%Y-%m-%d"), ("month", "%Y-%m"), ("year", "%Y")):
+                want.setdefault((event, gran, day.strftime(form)), set()).add(i)
+            day += timedelta(days=1)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.createDataFrame([(e, i, f"{a}", f"{b}") for e, i, a, b in rows], "event string, id long, a string, b string")
+    df = df.withColumns({c: F.to_timestamp(c) for c in "ab"})
+    counts = oplog.interval_counts(df, F.col("a"), F.col("b"), "day", "auto")
+    assert {(x.event, x.gran, x.period_key): x.n for x in counts.collect()} == {k: len(v) for k, v in want.items()}
+    buckets = oplog.interval_buckets(df, F.col("a"), F.col("b"), "day", "auto").select("event", "gran", "period_start", "period_key", "id").distinct()
+    assert sorted(counts.collect()) == sorted(sets.cardinality(buckets).select("event", "gran", "period_key", "n").collect())
+    assert "range_put_rollup_whole" in catalogue.queries()

@@ -7,7 +7,9 @@ stand for the whole event; ops older than a key's last barrier don't count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods as P
@@ -40,6 +42,28 @@ def interval_buckets(intervals: DataFrame, first: Column, last: Column, gran: st
     return rows.distinct() if rollup == "auto" else rows
 
 
+def interval_counts(intervals: DataFrame, first: Column, last: Column, gran: str, rollup: str = "none") -> DataFrame:
+    """(event, gran, period_key, n): how many ids of (event, id) have a bucket, over all buckets of all intervals.
+
+    The same as counting the distinct ids of ``interval_buckets``, but an interval of any length is two rows a
+    granularity: each one counts from where the id's earlier ones end, and counts are running sums over the ends.
+    """
+    grans = P.rollup_chain(gran) if rollup == "auto" else (gran,)
+    ends = [F.struct(F.lit(g).alias("gran"), F.date_trunc(g, first).alias("a"), (F.date_trunc(g, last) + F.expr(f"INTERVAL 1 {g.upper()}")).alias("b")) for g in grans]
+    rows = intervals.where(F.date_trunc(gran, first) <= F.date_trunc(gran, last)).select("event", "id", F.inline(F.array(*ends))).distinct()
+    before = Window.partitionBy("event", "id", "gran").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("a", F.greatest("a", F.max("b").over(before))).where("a < b")  # greatest skips a null
+    deltas = rows.select("event", "gran", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    deltas = deltas.groupBy("event", "gran", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))  # a row a bucket
+    along = Window.partitionBy("event", "gran").orderBy("at")
+    steps = deltas.select("event", "gran", "at", F.sum("d").over(along).alias("n"), F.lead("at").over(along).alias("next")).where("n > 0")
+    parts = []
+    for g in grans:
+        buckets = P.buckets_between(F.col("at"), F.col("next") - F.expr(f"INTERVAL 1 {g.upper()}"), g)
+        parts.append(steps.where(F.col("gran") == g).withColumn("_ts", F.explode(buckets)).select("event", "n", P.period_struct(F.col("_ts"), g).alias("p")))
+    return reduce(DataFrame.unionAll, parts).select("event", "p.gran", "p.period_key", "n")
+
+
 def alive(ops: DataFrame, barriers: DataFrame | None) -> DataFrame:
     """Ops that no later barrier hides; a barrier's own call survives it."""
     if barriers is None:

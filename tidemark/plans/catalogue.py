@@ -392,12 +392,18 @@ def range_remove(spark, sf_dir):
 
 @query("SELECT event, gran, period_key, count(DISTINCT id) AS n FROM (SELECT DISTINCT event, id, unnest(generate_series(date_trunc('day', a), least(date_trunc('day', b), date_trunc('day', a) + INTERVAL 40 DAY), INTERVAL 1 DAY)) AS d FROM (" + _INTERVALS + ") WHERE a >= '1997-01-15' AND a < '1997-02-01') t, LATERAL (SELECT gran, " + KEY_OF.format("d") + " AS period_key FROM (" + LEVELS + ") WHERE gran <> 'hour') GROUP BY ALL")
 def range_put_rollup(spark, sf_dir):
-    """Intervals of at most 41 days, with all coarser buckets once."""
+    """Intervals of half a month, cut to 41 days, with all coarser buckets once; ``range_put_rollup_whole`` has all."""
     some = intervals(spark, sf_dir).where("a >= '1997-01-15' AND a < '1997-02-01'").withColumn("b", F.expr("least(date_trunc('day', b), date_trunc('day', a) + INTERVAL 40 DAY)"))
     rows = oplog.interval_buckets(some, F.col("a"), F.col("b"), "day", "auto").select("event", "gran", "period_start", "period_key", "id").distinct()
     return sets.cardinality(rows).select("event", "gran", "period_key", "n")
 
 
+@query("SELECT event, gran, period_key, count(DISTINCT id) AS n FROM (SELECT DISTINCT event, id, unnest(generate_series(date_trunc('day', a), date_trunc('day', b), INTERVAL 1 DAY)) AS d FROM (" + _INTERVALS + ")) t, LATERAL (SELECT gran, " + KEY_OF.format("d") + " AS period_key FROM (" + LEVELS + ") WHERE gran <> 'hour') GROUP BY ALL")
+def range_put_rollup_whole(spark, sf_dir):
+    """All intervals from end to end, with all coarser buckets once."""
+    return oplog.interval_counts(intervals(spark, sf_dir), F.col("a"), F.col("b"), "day", "auto")
+
+
 # dictionary
 
 
