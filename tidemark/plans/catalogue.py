@@ -586,13 +586,14 @@ def serialized_contains(spark, sf_dir):
 # the store itself
 
 
-def _stored(spark, sf_dir):
-    """A store with the users who viewed or clicked in the first days of the month, by hour, rolled up."""
+def _stored(spark, sf_dir, only="event_type IN ('view', 'click') AND ts < '2024-01-04'"):
+    """A store with the users of events, by hour, rolled up: those who viewed or clicked in the first days of the
+    month, or others by ``only``."""
     from tidemark.sources.scratch import scratch
     from tidemark.sources.store import Store
 
     store = Store(spark, scratch(spark), default_granularity="hour", default_rollup="auto")
-    facts = read(spark, sf_dir, "events").where("event_type IN ('view', 'click') AND ts < '2024-01-04'")
+    facts = read(spark, sf_dir, "events").where(only)
     from tidemark.streaming.ingest import write_batch
 
     rows = facts.select(F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("id"), F.lit("put").alias("op"))
@@ -601,6 +602,19 @@ def _stored(spark, sf_dir):
     return store
 
 
+def _changed(store):
+    store.remove("view", Period.of_day(2024, 1, 2), [3, 5, 8])
+    store.replace("click", Period.of_day(2024, 1, 3), [1, 2])
+    store.compact()
+    return store.members().select("event", "gran", "period_key", "id")
+
+
+def _dropped(store):
+    store.drop_event("click")
+    store.retain_periods("view", lambda p: p >= Period.of_day(2024, 1, 2) and p.key >= "2024-01-02")
+    return store.members().select("event", "gran", "period_key", "id")
+
+
 _STORED = f"SELECT event_type AS event, gran, {KEY_TS} AS period_key, user_id AS id FROM events, ({LEVELS}) WHERE event_type IN ('view', 'click') AND ts < '2024-01-04' GROUP BY ALL"
 
 
@@ -612,19 +626,33 @@ def store_ingest(spark, sf_dir):
 @query(f"SELECT * FROM ({_STORED}) WHERE NOT (event = 'view' AND id IN (3, 5, 8) AND period_key IN ('2024-01-02', '2024-01', '2024')) AND NOT (event = 'click' AND period_key = '2024-01-03') UNION ALL SELECT 'click', 'day', '2024-01-03', unnest([1, 2])")
 def store_remove_replace_compact(spark, sf_dir):
     """Some users removed from a day and what is above it, a day replaced, and all of it compacted."""
-    store = _stored(spark, sf_dir)
-    store.remove("view", Period.of_day(2024, 1, 2), [3, 5, 8])
-    store.replace("click", Period.of_day(2024, 1, 3), [1, 2])
-    store.compact()
-    return store.members().select("event", "gran", "period_key", "id")
+    return _changed(_stored(spark, sf_dir))
 
 
 @query(f"SELECT * FROM ({_STORED}) WHERE event = 'view' AND period_key >= '2024-01-02' AND gran <> 'hour'")
 def store_drop_retain(spark, sf_dir):
-    store = _stored(spark, sf_dir)
-    store.drop_event("click")
-    store.retain_periods("view", lambda p: p >= Period.of_day(2024, 1, 2) and p.key >= "2024-01-02")
-    return store.members().select("event", "gran", "period_key", "id")
+    return _dropped(_stored(spark, sf_dir))
+
+
+_STORED_WHOLE = f"SELECT event_type AS event, gran, {KEY_TS} AS period_key, user_id AS id FROM events, ({LEVELS}) GROUP BY ALL"
+
+
+@query(_STORED_WHOLE)
+def store_ingest_whole(spark, sf_dir):
+    """``store_ingest`` of all events."""
+    return _stored(spark, sf_dir, "true").members().select("event", "gran", "period_key", "id")
+
+
+@query(f"SELECT * FROM ({_STORED_WHOLE}) WHERE NOT (event = 'view' AND id IN (3, 5, 8) AND period_key IN ('2024-01-02', '2024-01', '2024')) AND NOT (event = 'click' AND period_key = '2024-01-03') UNION ALL SELECT 'click', 'day', '2024-01-03', unnest([1, 2])")
+def store_remove_replace_compact_whole(spark, sf_dir):
+    """``store_remove_replace_compact`` over all events."""
+    return _changed(_stored(spark, sf_dir, "true"))
+
+
+@query(f"SELECT * FROM ({_STORED_WHOLE}) WHERE event <> 'click' AND (event <> 'view' OR period_key >= '2024-01-02' AND gran <> 'hour')")
+def store_drop_retain_whole(spark, sf_dir):
+    """``store_drop_retain`` over all events, of which those of other types stay."""
+    return _dropped(_stored(spark, sf_dir, "true"))
 
 
 def queries() -> dict[str, Query]:
