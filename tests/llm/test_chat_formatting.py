@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tests.oracle import assert_same
 from tidemark.llm import chat_formatting as cf
 from tidemark.llm import q_chat_formatting as q
@@ -39,3 +41,35 @@ def test_links_orders_and_validates(spark):
     assert {r.errors for r in got if r.call_id == "z"} == {"unknown tool; needs w", "needs w"}
     assert len(got) == len(MESSAGES) + 3
     assert cf.link_tool_calls(*cf.tool_messages(df.limit(0)), TOOLS).count() == 0
+
+
+SCHEMA = {
+    "type": "object",
+    "required": ["mode", "id"],
+    "properties": {
+        "mode": {"type": "string", "enum": ["a", "b"], "description": "how"}, "level": {"enum": [1, 2.5, None, {"x": 1, "y": [2]}]}, "n": {"type": "integer", "maximum": 9},
+        "code": {"type": "string", "maxLength": 4, "pattern": "^[a-z]+$"}, "tags": {"type": "array", "items": {"type": "array", "items": {"type": "string", "minLength": 2}}},
+        "at": {"type": "object", "properties": {"zip": {"type": "integer", "minimum": 5}, "to": {"properties": {"q": {"maximum": 1}}}}, "required": ["zip"], "additionalProperties": False},
+    },
+}
+
+
+def test_every_keyword_is_validated(spark):
+    good = {"mode": "a", "id": 1, "level": 1.0, "n": 9, "code": "abcd", "tags": [["xx"], []], "at": {"zip": 5, "to": {"q": 1}}}
+    cases = [
+        (good, ""), (good | {"level": {"y": [2], "x": 1}}, ""), (good | {"level": None}, ""), (good | {"mode": "c"}, "mode is none of the choices"), (good | {"level": 2}, "level is none of the choices"),
+        (good | {"n": 10}, "n is too large"), (good | {"code": "abcde"}, "code is too long"), (good | {"code": "ab1"}, "code does not match"), (good | {"tags": [["xx", "y"], 3]}, "tags[0][1] is too short; tags[1] is no array"),
+        (good | {"at": {"to": {"q": 2}, "w": 1}}, "at.to.q is too large; missing at.zip; unknown at.w"), (good | {"at": {"zip": 4}}, "at.zip is too small"), (good | {"at": 3, "tags": "x"}, "at is no object; tags is no array"),
+        ({"mode": "b"}, "missing id"),
+    ]
+    rows = [(1, k, "assistant", call((f"c{k}", "t", a, []))) for k, (a, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.errors for r in cf.link_tool_calls(*cf.tool_messages(df), {"t": SCHEMA}).collect()}
+    assert [got[k] for k in range(len(cases))] == [e for _, e in cases]
+
+
+@pytest.mark.parametrize("rule", [{"multipleOf": 2}, {"type": ["string", "null"]}, {"items": {"format": "date"}}, {"properties": {"y": {"oneOf": []}}}, {"additionalProperties": {"type": "string"}}, True])
+def test_unsupported_keywords_are_errors(spark, rule):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="not supported"):
+        cf.link_tool_calls(*cf.tool_messages(df), {"t": {"properties": {"x": rule}}})

@@ -11,6 +11,8 @@ message, and sorting by (conv_id, order_turn, order_step, turn, seq) gives the t
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from tidemark.llm.store import Shelf
 #: JSON type -> what the engine calls it.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$|^DECIMAL\\(\\d+,0\\)$", "number": "^BIGINT$|^DOUBLE$|^DECIMAL", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY"}
 
+#: What of a schema is validated, and what says nothing about values. Any other keyword is an error.
+KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "pattern", "items", "properties", "required", "additionalProperties"}
+NOTES = {"title", "description", "default", "examples", "$comment"}
+
 
 def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and plain messages of (conv_id, turn, role, text).
@@ -36,27 +42,97 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return made, results, plain
 
 
+def _supported(schema: dict, place: str) -> None:
+    """Raises an error for what ``_value_errors`` would pass over."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"schema of {place}: {schema!r} is not supported")
+    for keyword, value in schema.items():
+        fits = keyword in KEYWORDS or keyword in NOTES
+        if keyword == "type":
+            fits = isinstance(value, str) and value in TYPES
+        if keyword == "additionalProperties":
+            fits = isinstance(value, bool)
+        if not fits:
+            raise ValueError(f"schema of {place}: {keyword} {value!r} is not supported")
+    for key, rule in schema.get("properties", {}).items():
+        _supported(rule, f"{place}.{key}")
+    if "items" in schema:
+        _supported(schema["items"], f"{place}[]")
+
+
+def _tool_supported(name: str, schema: dict) -> None:
+    _supported(schema, name)
+    odd = set(schema) - {"properties", "required", "additionalProperties", *NOTES} - ({"type"} if schema.get("type") == "object" else set())
+    if odd:
+        raise ValueError(f"schema of {name}: {', '.join(sorted(odd))} is not supported for all arguments")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).rlike(TYPES[kind])
+
+
+def _among(value: Column, choices: list) -> Column:
+    """Whether a value equals one of the choices, numbers by their size and objects whatever the order of keys."""
+    found = F.lit(False)
+    for x in choices:
+        if isinstance(x, int | float) and not isinstance(x, bool):
+            same = _is(value, "number") & (F.try_variant_get(value, "$", "double") == float(x))
+        else:
+            same = F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(x))))
+        found = found | F.coalesce(same, F.lit(False))
+    return found
+
+
+def _value_errors(value: Column, label: Column, rule: dict, required: bool) -> Column:
+    """What is wrong with one value (null where it is missing), and with what is inside it."""
+    found = []
+    says = lambda wrong, text: found.append(F.when(wrong, F.concat(label, F.lit(text))))
+    if required:
+        found.append(F.when(value.isNull(), F.concat(F.lit("missing "), label)))
+    if "type" in rule:
+        says(~_is(value, rule["type"]), f" is no {rule['type']}")
+    if "minimum" in rule:
+        says(F.try_variant_get(value, "$", "double") < rule["minimum"], " is too small")
+    if "maximum" in rule:
+        says(_is(value, "number") & (F.try_variant_get(value, "$", "double") > rule["maximum"]), " is too large")
+    if "minLength" in rule:
+        says(F.length(F.try_variant_get(value, "$", "string")) < rule["minLength"], " is too short")
+    text = F.when(_is(value, "string"), F.try_variant_get(value, "$", "string"))
+    if "maxLength" in rule:
+        says(F.length(text) > rule["maxLength"], " is too long")
+    if "pattern" in rule:
+        says(~text.rlike(rule["pattern"]), " does not match")
+    if "enum" in rule:
+        says(value.isNotNull() & ~_among(value, rule["enum"]), " is none of the choices")
+    none = F.array().cast("array<string>")
+    out = F.array_compact(F.array(*found)) if found else none
+    if "items" in rule:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: _value_errors(x, F.concat(label, F.lit("["), i.cast("string"), F.lit("]")), rule["items"], False))
+        out = F.concat(out, F.when(_is(value, "array"), F.flatten(each)).otherwise(none))
+    if not {"properties", "required", "additionalProperties"}.isdisjoint(rule):
+        out = F.concat(out, F.when(_is(value, "object"), _object_errors(value, F.concat(label, F.lit(".")), rule)).otherwise(none))
+    return out
+
+
+def _object_errors(value: Column, prefix: Column, schema: dict) -> Column:
+    """What is wrong with an object's keys, in their order, and which are unknown."""
+    rules = dict.fromkeys(schema.get("required", ()), {}) | schema.get("properties", {})
+    parts = [F.array().cast("array<string>")]
+    for key, rule in sorted(rules.items()):
+        parts.append(_value_errors(F.try_variant_get(value, f"$['{key}']", "variant"), F.concat(prefix, F.lit(key)), rule, key in schema.get("required", ())))
+    if not schema.get("additionalProperties", True):
+        known = F.array(*[F.lit(k) for k in sorted(schema.get("properties", {}))]).cast("array<string>")
+        unknown = F.array_sort(F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string, variant>")), known))
+        parts.append(F.transform(unknown, lambda k: F.concat(F.lit("unknown "), prefix, k)))
+    return F.concat(*parts)
+
+
 def _errors(tools: dict[str, dict]) -> Column:
     """What is wrong with the arguments ``_v`` of a call of ``name``, in a fixed order."""
     by_tool = None
     for name, schema in sorted(tools.items()):
-        found = []
-        for key, rule in sorted(schema.get("properties", {}).items()):
-            path = f"$['{key}']"
-            value = F.variant_get("_v", path, "variant")
-            if key in schema.get("required", ()):
-                found.append(F.when(value.isNull(), F.lit(f"missing {key}")))
-            if "type" in rule:
-                found.append(F.when(~F.schema_of_variant(value).rlike(TYPES[rule["type"]]), F.lit(f"{key} is no {rule['type']}")))
-            if "minimum" in rule:
-                found.append(F.when(F.try_variant_get("_v", path, "double") < rule["minimum"], F.lit(f"{key} is too small")))
-            if "minLength" in rule:
-                found.append(F.when(F.length(F.try_variant_get("_v", path, "string")) < rule["minLength"], F.lit(f"{key} is too short")))
-        listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-        if not schema.get("additionalProperties", True):
-            known = F.array(*[F.lit(k) for k in sorted(schema.get("properties", {}))]).cast("array<string>")
-            unknown = F.array_sort(F.array_except(F.map_keys(F.expr("cast(_v AS map<string, variant>)")), known))
-            listed = F.concat(listed, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))
+        _tool_supported(name, schema)
+        listed = _object_errors(F.col("_v"), F.lit(""), schema)
         by_tool = (F.when if by_tool is None else by_tool.when)(F.col("name") == name, listed)
     unknown_tool = F.array(F.lit("unknown tool"))
     known = unknown_tool if by_tool is None else by_tool.otherwise(unknown_tool)
@@ -98,7 +174,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, plain: DataFrame, tool
     unanswered, or repeated if its identifier was used before in the conversation (ties by seq); a result's is
     linked, orphan (no such call) or repeated. Errors are those of the schema, "needs <id>" for a dependency
     that is no call, and "cycle" where dependencies go round. Null texts and contents count as empty, null
-    identifiers link with nothing, repeated rows stay, empty tables give no rows. Other columns are ignored.
+    identifiers link with nothing, a schema keyword that is not validated raises ValueError, repeated rows stay, empty tables give no rows. Other columns are ignored.
     """
     shelf = Shelf(calls.sparkSession)
     key = ["conv_id", "call_id"]
