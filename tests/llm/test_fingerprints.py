@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
+
 from tidemark.llm import fingerprints as fp
 from tidemark.llm import q_fingerprints
 
@@ -50,3 +53,15 @@ def test_homomorphic(spark):
     df = spark.createDataFrame([(1, "a\nb", "old"), (2, "b\na", "old"), (3, None, "old")], "doc_id long, text string, fingerprint string")
     got = {x.doc_id: x.fingerprint for x in fp.fingerprints(df).collect()}
     assert got[1] == got[2] != got[3] == fp.Vector().text()
+
+
+def test_likeness_of_a_run_that_occurs_very_often():
+    long = "la " * 40_000  # one run 39,998 times, which 16 bits would turn round
+    both = fp.vectors([long, long + "\nla la la"])
+    assert np.abs(both[0].likeness.view(np.int32)).min() == 39_998
+    assert both[0].like(both[1]) > 0.999
+    few = fp.vectors(["la la la la\nx y z"])[0]
+    assert both[0].like(few) == pytest.approx(2 * 2 * 39_998 / (39_998**2 + 5), rel=0.5)
+    one, two = fp.vectors(["la " * 30_000, "la " * 40_000])
+    assert one.like(two) == pytest.approx(2 * 29_998 * 39_998 / (29_998**2 + 39_998**2))
+    assert fp.Vector.parse(both[0].text()).like(both[1]) == both[0].like(both[1])

@@ -6,7 +6,7 @@ and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 A vector has two parts. The equality lanes (modulo 2**64) come from a cryptographic hash of the paragraph:
 fingerprints agree there just if the multisets of paragraphs do, but for chance. The likeness lanes (modulo
-2**16) are the sum of a vector of signs for each run of words within the paragraph: lane products estimate
+2**32) are the sum of a vector of signs for each run of words within the paragraph: lane products estimate
 how many runs two documents share, so likeness can be read from two fingerprints alone.
 """
 
@@ -32,7 +32,7 @@ class Vector:
 
     def __init__(self, equality: np.ndarray | None = None, likeness: np.ndarray | None = None):
         self.equality = np.zeros(EQUALITY, np.uint64) if equality is None else equality
-        self.likeness = np.zeros(LIKENESS, np.uint16) if likeness is None else likeness
+        self.likeness = np.zeros(LIKENESS, np.uint32) if likeness is None else likeness
 
     def __add__(self, other: Vector) -> Vector:
         return Vector(self.equality + other.equality, self.likeness + other.likeness)
@@ -46,13 +46,13 @@ class Vector:
     @staticmethod
     def parse(text: str) -> Vector:
         raw = bytes.fromhex(text)
-        return Vector(np.frombuffer(raw[: 8 * EQUALITY], np.uint64), np.frombuffer(raw[8 * EQUALITY :], np.uint16))
+        return Vector(np.frombuffer(raw[: 8 * EQUALITY], np.uint64), np.frombuffer(raw[8 * EQUALITY :], np.uint32))
 
     def like(self, other: Vector) -> float:
         """Estimated share of word runs in common, 0 to 1; 1 for equal fingerprints."""
         if np.array_equal(self.equality, other.equality):
             return 1.0
-        a, b = (x.likeness.view(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.likeness.view(np.int32).astype(np.float64) for x in (self, other))
         size = a @ a + b @ b
         return float(min(1.0, max(0.0, 2 * (a @ b) / size))) if size else 0.0
 
@@ -92,7 +92,7 @@ def vectors(texts: list[str]) -> list[Vector]:
     own = np.flatnonzero((place + RUN <= paragraph_end) | (short & begins))
     h = h[own]
     run_at = np.searchsorted(own, first[at])
-    likeness = np.zeros((len(texts), LIKENESS), np.uint16)
+    likeness = np.zeros((len(texts), LIKENESS), np.uint32)
     step = max(1, 4_000_000 // LIKENESS)
     for a in range(0, len(h), step):  # signs of a bounded number of runs at a time
         part = h[a : a + step]
@@ -102,7 +102,7 @@ def vectors(texts: list[str]) -> list[Vector]:
         counts = np.diff(where)
         for k in np.flatnonzero(counts).tolist():
             ones = signs[where[k] : where[k + 1]].sum(axis=0, dtype=np.int64)
-            likeness[k] += (2 * ones - counts[k]).astype(np.uint16)
+            likeness[k] += (2 * ones - counts[k]).astype(np.uint32)
     return [Vector(equality[k], likeness[k]) for k in range(len(texts))]
 
 
