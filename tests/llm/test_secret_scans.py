@@ -71,3 +71,19 @@ def test_redaction_and_empty_table(spark):
     assert got[3].startswith("é😀 [SECRET]\" x ") and got[8] == docs()[8][1]
     assert got[11] == "[SECRET] " * 300
     assert ss.find_secrets(df.limit(0)).count() == 0
+
+
+def test_values_glued_to_names_or_left_by_patterns(spark):
+    r = random.Random(21)
+    b62 = ss.UPPER + ss.LOWER + ss.DIGITS
+    value = "".join(r.choice(b62) for _ in range(64))
+    safe = value[:30] + "-_" + value[30:]
+    hexed = "0123456789abcdef" * 2
+    want = {
+        "ACCESS_KEY_ID=" + value: [(14, 78)], "é😀 A_NAME_OF_TWENTY_AND_MORE=" + value + "==": [(29, 95)], f"x=1&{value}=y": [(4, 68)],
+        f"/etc/keys/{safe}": [(10, 76)], f"{value}+/-b": [(0, 66)], hexed + "Z" + value: [(32, 97)], f"{value} {hexed}": [(0, 64)],
+        f"token=abcdef {value}": [(13, 77)], f"AKIA{'A' * 16}-{value[:60]}": [(20, 81)],
+    }
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    got = {x.text: [(s.start, s.end) for s in x.secret_spans if s.kind == "random"] for x in ss.find_secrets(df).collect()}
+    assert got == want

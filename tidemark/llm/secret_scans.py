@@ -3,7 +3,8 @@
 Everything is DataFrame functions. Places of matches come from the lengths of the matches and of the pieces
 between them, so they count code points.
 
-A candidate is a run of 20 or more characters of [A-Za-z0-9+/_=-]. Its encoding is inferred from what it holds
+A candidate is a run of 20 or more characters of [A-Za-z0-9+/] or of [A-Za-z0-9_-], with any "=" that pads its end, in
+what the spans of the patterns leave of the text; any other "=" parts runs. Its encoding is inferred from what it holds
 (hex, base 32, lower-case base 36, base 62, base 64; each needs a digit and letters, the last two both cases);
 without one it is no candidate. Three tests ask whether it may be random over that alphabet: chi-squared for
 uniform counts (with the exact variance of a multinomial, so short strings are fair), the number of runs
@@ -28,7 +29,14 @@ NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "
 ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: What the SQL takes for a run; the operator takes PIECE, which parts such runs further.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of one kind of base 64, the standard or the URL-safe one, with the padding at their end. Where signs of both
+#: kinds meet, a run ends between them: a URL-safe piece of 20 characters or more comes first, else the standard one.
+#: The look ahead at the front only saves time.
+_PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+_STANDARD, _SAFE = "A-Za-z0-9+/", "A-Za-z0-9_-"
+PIECE = rf"(?=[A-Za-z0-9+/_-]{{20}})(?:(?<![{_STANDARD}])[{_STANDARD}]{{20,}}+(?![_-])|(?<![{_SAFE}])[{_SAFE}]{{20,}}+(?![+/])|(?<![{_STANDARD}])(?![{_STANDARD}]*[+/][{_SAFE}]{{20,}})[{_STANDARD}]{{20,}}+|(?<![{_SAFE}])[{_SAFE}]{{20,}}+){_PAD}"
 KINDS = ("assign", "access", "hex", "random")
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -90,16 +98,24 @@ def _stats(candidates: str) -> str:
 
 def _matched(docs: DataFrame) -> DataFrame:
     """Adds _base (spans of the patterns) and _tests (candidates with their figures)."""
+
+    def spans(docs: DataFrame, found: dict[str, str], text: str, made: dict[str, str]) -> DataFrame:
+        docs = docs.withColumns({f"_{k}m": F.expr(f"regexp_extract_all({text}, {q(p)}, 0)") for k, p in found.items()})
+        docs = docs.withColumns({f"_{k}p": F.expr(f"IF(size(_{k}m) = 0, NULL, split({text}, {q(p)}, -1))") for k, p in found.items()})
+        if "a" in found:
+            docs = docs.withColumn("_ag", F.expr(f"IF(size(_am) = 0, NULL, regexp_extract_all({text}, {q(ASSIGN)}, 2))"))
+        return docs.withColumns({k: F.expr(v) for k, v in made.items()}).drop("_ag", *[f"_{k}{x}" for k in found for x in "mp"])
+
     text = "coalesce(text, '')"
-    found = {"a": ASSIGN, "c": ACCESS, "h": HEX, "r": RUN}
-    docs = docs.withColumns({f"_{k}m": F.expr(f"regexp_extract_all({text}, {q(p)}, 0)") for k, p in found.items()})
-    pieces = {f"_{k}p": F.expr(f"IF(size(_{k}m) = 0, NULL, split({text}, {q(p)}, -1))") for k, p in found.items()}
-    docs = docs.withColumns(pieces | {"_ag": F.expr(f"IF(size(_am) = 0, NULL, regexp_extract_all({text}, {q(ASSIGN)}, 2))")})
-    made = {"_a": _spans(0, "_am", "_ap", "length(_ag[i - 1]) >= 6"), "_c": _spans(1, "_cm", "_cp"), "_h": _spans(2, "_hm", "_hp"), "_r": _spans(3, "_rm", "_rp")}
-    docs = docs.withColumns({k: F.expr(v) for k, v in made.items()}).drop("_ag", *[f"_{k}{x}" for k in found for x in "mp"])
+    docs = spans(docs, {"a": ASSIGN, "c": ACCESS, "h": HEX}, text, {"_a": _spans(0, "_am", "_ap", "length(_ag[i - 1]) >= 6"), "_c": _spans(1, "_cm", "_cp"), "_h": _spans(2, "_hm", "_hp")})
     docs = docs.withColumn("_base", F.expr("array_sort(concat(_a, _c, _h))"))
-    free = "filter(_r, c -> NOT exists(_base, b -> b.s < c.e AND c.s < b.e))"
-    return docs.withColumn("_free", F.expr(free)).withColumn("_tests", F.expr(f"IF(size(_free) = 0, NULL, {_stats('_free')})")).drop("_r", "_free")
+    # the text with blanks for what the patterns found, so that runs keep their places
+    rest = f"""IF(size(_base) = 0, {text}, aggregate(_base, named_struct('at', 0, 'out', CAST(array() AS ARRAY<STRING>)),
+      (acc, x) -> named_struct('at', greatest(acc.at, x.e), 'out', IF(x.e <= acc.at, acc.out,
+        concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), repeat(' ', x.e - greatest(acc.at, x.s)))))),
+      acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1))))"""
+    docs = spans(docs.withColumn("_rest", F.expr(rest)), {"r": PIECE}, "_rest", {"_r": _spans(3, "_rm", "_rp")})
+    return docs.withColumn("_tests", F.expr(f"IF(size(_r) = 0, NULL, {_stats('_r')})")).drop("_r", "_rest")
 
 
 def thresholds(docs: DataFrame, alpha: float) -> dict[int, int]:
