@@ -57,13 +57,11 @@ def corpus(seed):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1,):
+    for seed in (1, 2):
         docs = corpus(seed)
         df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n_shingles int, size string")
         assert similarity_components(df.limit(0)).columns == ["doc_id", "size", "n_shingles", "component_id"]
         assert rows(similarity_components(df)) == brute(docs)
-    # large lists thinned first, and common n-grams found early
-    assert rows(similarity_components(df, common_least=2, max_rounds=2)) == brute(docs)
 
 
 def test_empty_table_and_nothing_in_common(spark):

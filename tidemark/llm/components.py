@@ -9,7 +9,7 @@ from tidemark.llm.store import Shelf
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b), the component being its smallest node.
+    """(node, component) for every node of ``edges`` (a, b), the component being its smallest node; a stored table.
 
     Each round points every node at its smallest neighbour if that is smaller, follows the pointers a few
     steps, and rewrites the edges between what they lead to. Every component loses at least half of its
@@ -33,23 +33,25 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         else:
             to = up.select(F.col("node").alias("up"), F.col("up").alias("to"))
             last, labels = labels, shelf.keep(labels.join(to, "up", "left").select("node", F.coalesce("to", "up").alias("up")), most)
-            shelf.drop(last)
-            shelf.drop(up)
+            shelf.drop(last, up)
         n = live.count()
-    shelf.drop(live)
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    return labels.select("node", F.col("up").alias("component"))
+        labels = shelf.keep(live.select(F.col("a").alias("node"), F.col("b").alias("up")))
+    shelf.drop(live)
+    return shelf.like(labels.select("node", F.col("up").alias("component")), labels)
 
 
 def merged(labels: DataFrame | None, edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """``labels`` (node, component) after more ``edges`` (a, b): only the edges between components are contracted."""
+    """``labels`` after more ``edges`` (a, b): only edges between components are contracted. The old table goes."""
     if labels is None:
         return components(edges, shelf)
     a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     named = edges.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
     named = shelf.keep(named)
-    joined = components(named.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), shelf).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    new = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component")))).alias("x")).select("x.*")
-    every = labels.unionByName(new).distinct()
-    return shelf.keep(every.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    joined = components(named.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), shelf)
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = named.select(F.col("a").alias("node"), F.col("of_a").alias("component")).unionByName(named.select("b", "of_b").toDF("node", "component"))
+    every = shelf.keep(labels.unionByName(new).distinct())
+    out = shelf.keep(every.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    shelf.drop(labels, named, joined, every)
+    return out

@@ -36,7 +36,13 @@ class Shelf:
         kept._shelf_path = path
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table that nothing needs any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def like(self, df: DataFrame, stored: DataFrame) -> DataFrame:
+        """``df``, a projection of a stored table, is dropped like it."""
+        df._shelf_path = stored._shelf_path
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing needs any more."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

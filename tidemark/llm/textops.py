@@ -109,8 +109,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[n]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches short enough that what is computed from them stays small."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows and few bytes of text, so what is computed from them stays small.
+
+    A row is never cut: a text longer than ``size`` bytes comes by itself.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        for a, b in pieces([c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)], batch.num_rows, rows, size):
+            yield batch.slice(a, b - a)
+
+
+def pieces(texts: list[pa.Array], n: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive pieces of ``n`` rows, of at most ``rows`` rows and about ``size`` bytes of ``texts``."""
+    import pyarrow.compute as pc
+
+    ends = np.zeros(n, np.int64)
+    for t in texts:
+        ends += np.cumsum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < n:
+        before = ends[a - 1] if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, before + size, "right"))), n)
+        yield a, b
+        a = b
