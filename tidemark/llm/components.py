@@ -20,11 +20,11 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     labels, n = None, live.count()
     while n:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = shelf.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), n)
+        first = up = shelf.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), n)
         for _ in range(3):
-            step = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            last, up = up, shelf.keep(up.join(step, "up").select("node", F.col("next").alias("up")), n)
-            shelf.drop(last)
+            up = up.join(first.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
+        up = shelf.keep(up, n)
+        shelf.drop(first)
         a, b = (up.select(F.col("node").alias(x), F.col("up").alias(f"to_{x}")) for x in "ab")
         last, live = live, shelf.keep(live.join(a, "a").join(b, "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), n)
         shelf.drop(last)

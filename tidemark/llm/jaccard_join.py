@@ -9,7 +9,8 @@
 3. Classes with an identical prefix and size collapse into one group, and only groups are listed under the cells of
    their prefixes. Lists with a single group vanish; the remaining groups expand into their classes.
 4. In rounds, each class is verified against a few pivots of its lists, and whatever is linked becomes one component:
-   pairs inside a component need no test. When few pairs are left, or a round thins them no more, every pair of a list
+   pairs inside a component need no test. Pivots are classes with few n-grams of their own: what a group of near
+   copies was made from shares nearly all of its n-grams, while two copies may differ too much. When few pairs are left, or a round thins them no more, every pair of a list
    is verified that lies in two components, passes the size filter, and stands early enough in both prefixes.
 5. Verification computes both sets from the whole texts and compares 100 * intersection >= 100 t * union in
    integers. Any two similar sets in different components meet in some list, so no link is lost.
@@ -320,10 +321,10 @@ def _clustered(docs: DataFrame, n: int, percent: int) -> DataFrame:
     listed = groups.select("grp", "size", "skip", F.posexplode("prefix").alias("pos", "list")).withColumn("pos", F.col("pos") + F.col("skip"))
     listed = shelf.keep(listed)
     long = shelf.keep(listed.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list"))
-    shared = listed.join(long, "list").select("list", "grp", "size", "pos")
+    shared = listed.join(long, "list").select("list", "grp", "size", "skip", "pos")
     # groups expand into their classes; a group of several classes is a list of its own
-    several = groups.where("classes > 1").select(F.col("grp").alias("list"), "grp", "size", F.lit(0).alias("pos"))
-    lists = shelf.keep(shared.unionByName(several).join(classes.select("grp", "size", "cls"), ["grp", "size"]).select("list", "cls", "size", "pos"))
+    several = groups.where("classes > 1").select(F.col("grp").alias("list"), "grp", "size", "skip", F.lit(0).alias("pos"))
+    lists = shelf.keep(shared.unionByName(several).join(classes.select("grp", "size", "cls"), ["grp", "size"]).select("list", "cls", "size", "skip", "pos"))
     needed = shelf.keep(lists.select("cls").distinct().join(classes.select("cls", "k"), "cls").select("cls", "k._k1", "k._k2"))
     texts = shelf.keep(_of(keyed.select("_k1", "_k2", "text"), needed))
     shelf.drop(groups, classes, listed, long, needed)
@@ -392,9 +393,13 @@ def _of(texts: DataFrame, needed: DataFrame) -> DataFrame:
     return near.join(needed, ["_k1", "_k2"]).select("cls", "text")
 
 
-def _to_pivots(live: DataFrame, percent: int, rounds: int, shelf: Shelf, most: int = 3) -> DataFrame:
-    """For each class, the pivots of most of its lists. A list's pivot has the least hash, another one each round."""
-    x = live.select("list", "cls", "comp", "size").withColumn("h", F.xxhash64(F.lit(rounds), "cls"))
+def _to_pivots(live: DataFrame, percent: int, rounds: int, shelf: Shelf, most: int = 4) -> DataFrame:
+    """For each class, the pivots of most of its lists.
+
+    A list's pivot is one of those with the least share of n-grams that no other set has, another one each round.
+    """
+    own = F.floor(32 * F.col("skip") / F.col("size")) if rounds else F.col("skip") / F.col("size")
+    x = live.select("list", "cls", "comp", "size", F.struct(own.alias("own"), F.xxhash64(F.lit(rounds), "cls").alias("hash")).alias("h"))
     pivot = shelf.keep(x.groupBy("list").agg(F.min(F.struct("h", "cls", "comp", "size")).alias("p")))
     near = x.join(pivot, "list").where((F.col("p.comp") != F.col("comp")) & (100 * F.col("size") >= percent * F.col("p.size")) & (100 * F.col("p.size") >= percent * F.col("size")))
     near = near.groupBy("cls", F.col("p.cls").alias("other")).agg(F.count("*").alias("shared"))
