@@ -54,14 +54,42 @@ def test_base_equals_brute_force_and_battery_adds(spark):
 
 
 def test_battery_keeps_most_random_strings_and_few_others(spark):
+    """Planted random and natural strings: what is found, and the share of false secrets in every stratum of length."""
     r = random.Random(9)
     b62 = ss.UPPER + ss.LOWER + ss.DIGITS
-    good = [(i, "k " + "".join(r.choice(b62) for _ in range(r.randrange(24, 120)))) for i in range(150)]
     words = ["Section", "value", "Item", "table", "Name", "entry"]
-    plain = [(1000 + i, "see " + "_".join(r.choice(words) + str(r.randrange(3)) for _ in range(12))) for i in range(150)]
-    df = spark.createDataFrame(good + plain, "doc_id long, text string")
-    found = {x.doc_id for x in ss.find_secrets(df).where("size(secret_spans) > 0").collect()}
-    assert sum(i < 1000 for i in found) >= 140 and sum(i >= 1000 for i in found) <= 15
+    good = ["".join(r.choice(b62) for _ in range(r.randrange(24, 220))) for i in range(400)]
+    plain = ["_".join(r.choice(words) + str(r.randrange(3)) for _ in range(r.randrange(4, 30))) for i in range(1200)]
+    df = spark.createDataFrame([(i, f"k {t}") for i, t in enumerate(good + plain)], "doc_id long, text string")
+    found = [x.doc_id for x in ss.find_secrets(df).where("size(secret_spans) > 0").collect()]
+    for low, high in zip((24, *ss.STRATA), (*ss.STRATA, 999), strict=True):
+        near = [i for i in found if low <= len((good + plain)[i]) < high]
+        true = [i for i in near if i < len(good)]
+        assert len(true) >= 0.9 * sum(low <= len(t) < high for t in good), (low, len(true))
+        assert len(near) - len(true) <= 0.1 * len(near) + 1, (low, len(near), len(true))
+
+
+def test_many_matches_in_one_text_are_linear(spark):
+    import time
+
+    text = "token=aaaaaa " * 40_000 + "é " + "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ss.find_secrets(df.limit(0)).collect()
+    t = time.time()
+    (r,) = ss.find_secrets(df).collect()
+    took = time.time() - t
+    assert r.n_assign == 40_000 and [(s.start, s.end) for s in r.secret_spans] == [(13 * i, 13 * i + 12) for i in range(40_000)] + [(520_002, 520_034)]
+    (r,) = ss.redact(df).collect()
+    assert r.text == "[SECRET] " * 40_000 + "é [SECRET]"
+    assert took < 10, took  # 2 s alone; 68 s where the work was quadratic
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([("token=abcdef", "u", "v", "w", "x", 7)], "text string, base string, tests string, row string, r string, n_hex int")
+    (r,) = ss.find_secrets(df).collect()
+    assert (r.base, r.tests, r.row, r.r, r.n_hex) == ("u", "v", "w", "x", 0)
+    (r,) = ss.redact(df).collect()
+    assert (r.text, r.base, r.n_hex) == ("[SECRET]", "u", 7)
 
 
 def test_redaction_and_empty_table(spark):
