@@ -34,3 +34,21 @@ def test_mixture_of_documents(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, max_sources=2)
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"big": 10_000_000})
+
+
+def test_many_sources_odd_ids_and_clashing_names(spark, monkeypatch):
+    import time
+
+    shares, t = {f"s{i}": 1 + i % 100 for i in range(2000)}, time.time()
+    assert Counter(mixing.schedule(shares)) == Counter(shares) and time.time() - t < 5
+    monkeypatch.setattr(mixing, "_BUCKET", 5)
+    monkeypatch.setattr(mixing, "_BROADCAST", 0)
+    rows = [(1024 * i, "a", "x", i, None) for i in range(400)] + [(None, "a", "y", i, "z" * 100_000) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, key string, place int, text string")
+    got = mixing.mix(df, {"a": 3}).collect()
+    assert sorted(r.mix_slot * 16 + r.mix_order for r in got) == list(range(450))
+    assert Counter((r.doc_id, r.key, r.place) for r in got) == Counter((r[0], r[2], r[3]) for r in rows)
+    buckets = mixing.places(df.select(mixing.F.struct("*").alias("row"), "source", "doc_id"), 450)
+    assert buckets.count() == 450

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -43,7 +44,7 @@ def test_stages_equal_brute_force(spark, small, tmp_path):
     want = {}
     while len(want) < len(masked):
         s = order[slot % len(order)]
-        own = sorted((r["doc_id"] % 1024, r["doc_id"]) for r in masked if r["source"] == s)
+        own = sorted((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]) for r in masked if r["source"] == s)
         for j, (_, d) in enumerate(own[16 * done[s] : 16 * done[s] + 16]):
             want[d] = (slot, j)
         done[s] += 1

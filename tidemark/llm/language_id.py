@@ -97,13 +97,21 @@ class Words:
         self.word_at = np.concatenate([[0], np.cumsum(self.letters)]).astype(np.int64)
 
 
-def fit(docs: DataFrame) -> dict:
-    """The model of all ``docs`` with a text and a lang: languages, log probabilities by cell, scripts by language."""
+def fit(docs: DataFrame, most: int = 128) -> dict:
+    """The model of all ``docs`` with a text and a lang: languages, log probabilities by cell, scripts by language.
+
+    A language takes some 2 MB on the driver and in every worker, so more than ``most`` different values of lang raise an
+    error: such a column holds something else. Repeated rows count each, texts of any length count whole, an empty table
+    gives a model without languages; other columns are ignored.
+    """
+    kinds = docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).count()
+    if kinds > most:
+        raise ValueError(f"more than {most} different values of lang; clean the column first")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for batch in textops.small_batches(batches):
+        for batch in textops.small_batches(batches, size=1 << 20):
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
             for lang in dict.fromkeys(langs):
@@ -197,10 +205,11 @@ def identify(docs: DataFrame, model: dict, penalty: float = 4.0) -> DataFrame:
 
     lang_pred is the language whose spans hold most letters (the first by name among equals), or ``und`` where
     the text is null or has no letter, or nothing was learned; score is that share of letters, 0 for ``und``.
-    lang_spans lists the spans as (start, end, lang) in code points. Repeated rows are labelled each, other
-    columns stay, columns named like the results are replaced, and an empty table gives no rows.
+    lang_spans lists the spans as (start, end, lang) in code points. A text of any length is labelled whole; texts are
+    taken up by about a million bytes at a time. Repeated rows are labelled each, other columns stay, whatever their names, columns named like the results are replaced, and an empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score", "lang_spans")
+    made = ("lang_pred", "score", "lang_spans")
+    names = [c for c in docs.columns if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))])
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -208,12 +217,13 @@ def identify(docs: DataFrame, model: dict, penalty: float = 4.0) -> DataFrame:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in texts:
-            parts = [_identified(batch.slice(a, 512).to_pylist(), model, penalty) for a in range(0, len(batch), 512)]
+            parts = [_identified(batch.slice(a, b - a).to_pylist(), model, penalty) for a, b in textops.pieces([batch], len(batch), 512, 1 << 20)]
             pred, score, found = (sum((p[k] for p in parts), []) for k in range(3))
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, span_kind)], names=kind.names)
 
-    out = docs.withColumn("_lang", F.arrow_udf(run, kind)("text"))
-    return out.select("*", "_lang.*").drop("_lang")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so no name can clash
+    out = docs.select(whole, F.arrow_udf(run, kind)("text").alias("found"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[F.col(f"found.{c}").alias(c) for c in made])
 
 
 def _identified(texts: list[str | None], model: dict, penalty: float) -> tuple[list, list, list]:

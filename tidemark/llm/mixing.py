@@ -6,18 +6,21 @@ its share at all times. Weights are whole shares of a period of slots, so one pe
 whatever the number of documents, repeats for ever; a document's slot then follows from its place within its
 source.
 
-Places are counted without gathering a source in one task: a source's documents are dealt into buckets by
-doc_id, each bucket is numbered by itself, and bucket totals are added up in a table of sources x buckets.
+Places are counted without gathering a source in one task: documents are ordered by the MD5 of doc_id and dealt into buckets by
+its first digits, as many as the counts ask for, so no arithmetic of ids fills one bucket. Each bucket is numbered by itself, and
+bucket totals are added up in a table of sources x buckets.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.store import Shelf
 
 #: What a null source is called.
 NO_SOURCE = "null"
@@ -26,20 +29,18 @@ NO_SOURCE = "null"
 def schedule(shares: dict[str, int]) -> list[str]:
     """The source that runs in each slot of one period, of as many slots as there are shares."""
     period = sum(shares.values())
-    names = sorted(shares)
-    weight = {s: Fraction(shares[s], period) for s in names}
-    waiting = [(0, s, 0) for s in names]  # release, source, block
+    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) // weight[s]), s, k))
+            heapq.heappush(ready, (-(-(k + 1) * period // shares[s]), s, k))
         _, s, k = heapq.heappop(ready)
         out.append(s)
         if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) // weight[s], s, k + 1))
+            heapq.heappush(waiting, ((k + 1) * period // shares[s], s, k + 1))
     return out
 
 
@@ -49,57 +50,72 @@ def root_shares(counts: dict[str, int], most: int = 100) -> dict[str, int]:
     return {s: max(1, int(most * n**0.5 / top + 0.5)) for s, n in counts.items()}
 
 
-def places(docs: DataFrame, source: Column, buckets: int = 1024) -> DataFrame:
-    """Adds _source and _place, a document's number from 0 within its source.
+#: Documents of a bucket, about.
+_BUCKET = 50_000
+
+
+def places(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``place``, a document's number from 0 within its source, to about ``n`` rows of (row, source, doc_id).
 
-    Places go by doc_id modulo ``buckets``, then doc_id, then the rest of the row's hash.
+    Places go by the MD5 of doc_id, then doc_id, then the rest of the row's hash; a null doc_id has the row's hash instead. They
+    don't depend on the number of buckets.
     """
-    rows = docs.withColumns({"_source": source, "_bucket": F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0)).cast("int")})
-    counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = counts.select("_source", "_bucket", before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("doc_id", F.xxhash64(*docs.columns)))
-    return rows.withColumn("_own", own).join(start, ["_source", "_bucket"]).withColumn("_place", F.col("_start") + F.col("_own") - 1).drop("_bucket", "_own", "_start")
+    digits = max(3, -(-(n // _BUCKET).bit_length() // 4))
+    rest = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields if not isinstance(f.dataType, T.MapType | T.VariantType)])
+    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), rest.cast("string")))))
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = counts.select("source", "bucket", before.alias("start"))
+    own = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", rest))
+    return rows.withColumn("own", own).join(start, ["source", "bucket"]).select("row", "source", (F.col("start") + F.col("own") - 1).alias("place"))
+
+
+#: Rows of a period that are broadcast: some tens of MB.
+_BROADCAST = 200_000
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, block: int = 16, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, int] | None = None, block: int = 16, max_sources: int = 100_000, max_period: int = 2_000_000) -> DataFrame:
     """Adds mix_slot, mix_order and in_mix to documents (doc_id, source, ...): the order of the mixture.
 
     A slot runs one block of up to ``block`` documents of one source; sorting by (mix_slot, mix_order) gives
     the mixture, in which every source is within less than one block of its target weight for as long as no
     source has run out (in_mix). Later slots of a source that ran out stay empty, so no document is dropped.
 
-    ``shares``: whole shares by source; by default in proportion to the square root of a source's count. A
-    source without a share of its own, and a null one, which is called "null", has one share. Repeated rows are
-    documents of their own and ties are ordered by the row's content; a null doc_id comes first. Other columns
-    stay, columns named like the results are replaced, and an empty table gives no rows. More than
-    ``max_sources`` sources raise an error: the schedule of a period is made on the driver.
+    ``shares``: whole shares by source; by default in proportion to the square root of a source's count, the largest being
+    100, or less where a period would not fit. A source without a share of its own, and a null one, which is called "null", has
+    one share. Repeated rows are documents of their own and ties are ordered by the row's content. Texts are not looked at, so
+    their length does not matter. Other columns stay, whatever their names, columns named like the results are replaced, and
+    an empty table gives no rows. The schedule of a period is made on the driver and stored as a table, so more than ``max_sources``
+    sources or ``max_period`` slots raise an error; it is broadcast if it is small.
     """
-    docs = docs.drop("mix_slot", "mix_order", "in_mix")
-    source = F.coalesce(F.col("source"), F.lit(NO_SOURCE))
-    found = docs.groupBy(source.alias("s")).count().limit(max_sources + 1).collect()
+    names = [c for c in docs.columns if c not in ("mix_slot", "mix_order", "in_mix")]
+    spark = docs.sparkSession
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so no name can clash
+    rows = docs.select(whole, F.coalesce(F.col("source"), F.lit(NO_SOURCE)).alias("source"), "doc_id")
+    found = rows.groupBy("source").count().limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; group the small ones first")
-    counts = {r["s"]: r["count"] for r in found}
-    shares = root_shares(counts) if shares is None else {s: max(1, shares.get(s, 1)) for s in counts}
+    counts = {r["source"]: r["count"] for r in found}
+    if shares is None:
+        shares = root_shares(counts, max(1, min(100, max_period // max(1, len(counts)))))
+    shares = {s: max(1, shares.get(s, 1)) for s in counts}
+    if sum(shares.values()) > max_period:
+        raise ValueError(f"a period of more than {max_period} slots; give smaller shares")
     order = schedule(shares)
-    table: list[dict] = []
-    seen: dict[str, int] = {}
+    slots: dict[str, list[int]] = {}
     for slot, s in enumerate(order):
-        table.append({"source": s, "k": seen.get(s, 0), "slot": slot, "share": shares[s]})
-        seen[s] = seen.get(s, 0) + 1
+        slots.setdefault(s, []).append(slot)
     # the first slot that a source could not fill
-    slots: dict[str, list[int]] = {}
-    for row in table:
-        slots.setdefault(row["source"], []).append(row["slot"])
     ends = [(n // block) // shares[s] * len(order) + slots[s][(n // block) % shares[s]] for s, n in counts.items()]
     end = min(ends, default=0)
-    spark = docs.sparkSession
-    kind = "array<struct<source: string, k: int, slot: int, share: int>>"
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), kind)).alias("p")).select(F.col("p.source").alias("_source"), F.col("p.k").alias("_k"), F.col("p.slot").alias("_slot"), F.col("p.share").alias("_share"))
-    sources = plan.select("_source", "_share").distinct()
-    rows = places(docs, source).withColumn("_block", F.floor(F.col("_place") / block))
-    rows = rows.join(F.broadcast(sources), "_source").withColumn("_k", (F.col("_block") % F.col("_share")).cast("int"))
-    rows = rows.join(F.broadcast(plan.drop("_share")), ["_source", "_k"])  # a period: bounded by max_sources x shares
-    slot = F.floor(F.col("_block") / F.col("_share")) * len(order) + F.col("_slot")
-    return rows.select(*docs.columns, slot.cast("long").alias("mix_slot"), (F.col("_place") % block).cast("int").alias("mix_order")).withColumn("in_mix", F.col("mix_slot") < end)
+    plan = pa.table({"source": pa.array([s for s in slots for _ in slots[s]], pa.string()), "k": pa.array([k for s in slots for k in range(len(slots[s]))], pa.int64()), "slot": pa.array([x for s in slots for x in slots[s]], pa.int64())})
+    shelf = Shelf(spark)
+    plan = shelf.keep(spark.createDataFrame(plan) if len(order) else spark.createDataFrame([], "source string, k long, slot long"))
+    sources = shelf.keep(plan.groupBy("source").agg(F.count("*").alias("share")))
+    small = F.broadcast if len(order) <= _BROADCAST else lambda x: x
+    numbered = places(rows, sum(counts.values())).withColumn("block", F.floor(F.col("place") / block))
+    numbered = numbered.join(small(sources), "source").withColumn("k", F.col("block") % F.col("share")).join(small(plan), ["source", "k"])
+    slot = F.floor(F.col("block") / F.col("share")) * len(order) + F.col("slot")
+    out = numbered.select(*[F.col(f"row.`{c}`").alias(c) for c in names], slot.cast("long").alias("mix_slot"), (F.col("place") % block).cast("int").alias("mix_order"))
+    return out.withColumn("in_mix", F.col("mix_slot") < end)

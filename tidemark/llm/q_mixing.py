@@ -25,7 +25,7 @@ mstep AS (SELECT 0::BIGINT AS slot, list_transform(shares, lambda x: 0::BIGINT)
       CASE WHEN done[i] < shares[i] AND done[i] * m // shares[i] <= slot THEN ((((done[i] + 1) * m + shares[i] - 1) // shares[i]) * 1000000 + i) END), lambda x: x IS NOT NULL)) % 1000000 AS best
     FROM mstep, mperiod WHERE slot < m)),
 mplan AS (SELECT names[pick] AS s, slot - 1 AS slot, done[pick] - 1 AS k FROM mstep, mperiod WHERE pick > 0),
-mrow AS (SELECT *, coalesce(source, 'null') AS s, row_number() OVER (PARTITION BY coalesce(source, 'null') ORDER BY coalesce(((doc_id % 1024) + 1024) % 1024, 0), doc_id) - 1 AS place FROM {documents}),
+mrow AS (SELECT *, coalesce(source, 'null') AS s, row_number() OVER (PARTITION BY coalesce(source, 'null') ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS place FROM {documents}),
 mend AS (SELECT min((n // {block}) // a * m + slot) AS e FROM mshare JOIN mplan USING (s), mperiod WHERE k = (n // {block}) % a),
 mixed AS (SELECT mrow.*, ((place // {block}) // a * m + slot)::BIGINT AS mix_slot, (place % {block})::INT AS mix_order,
     (place // {block}) // a * m + slot < (SELECT e FROM mend) AS in_mix

@@ -3,7 +3,8 @@
 A text falls into pre-tokens that no merge of the vocabulary can cross: runs of the space symbol with what
 follows, cut again at every line feed. Tier one is a broadcast table of the token counts of frequent
 pre-tokens. Tier two encodes a miss with the library and keeps the answer in a bounded cache of the worker.
-Pre-tokens are never shuffled; the plan is one scan and one projection.
+Pre-tokens are never shuffled; the plan is one scan and one projection, after the pre-tokens of a bounded sample of documents
+from all partitions were counted for tier one.
 
 Cutting is exact only where no piece of the vocabulary holds a line feed, or the space symbol after another
 character; ``Cutter`` checks both (and that the model has no user-defined symbol and normalises nothing) and
@@ -22,22 +23,28 @@ from pyspark.sql import functions as F
 #: The symbol that stands for a space in the vocabulary (fixed value of the library).
 SPACE = "▁"
 
+#: Characters of the longest pre-token that is kept.
+LONG = 64
+
 
 class Lengths(dict):
-    """Pre-token -> number of tokens. Misses are encoded; ``most`` bounds how many of them are kept."""
+    """Pre-token -> number of tokens. Misses are encoded; about ``most`` bytes of them are kept, and no long ones."""
 
-    def __init__(self, frequent: dict[str, int], encode, most: int = 500_000):
+    def __init__(self, frequent: dict[str, int], encode, most: int = 64 << 20):
         super().__init__(frequent)
         self.encode, self.room, self.most = encode, most, most
         self.frequent = frequent
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encode(piece))
-        if self.room == 0:
+        if len(piece) > LONG:
+            return n
+        size = 150 + 4 * len(piece)  # the string, its number and their place
+        if self.room < size:
             self.clear()
             self.update(self.frequent)
             self.room = self.most
-        self.room -= 1
+        self.room -= size
         self[piece] = n
         return n
 
@@ -45,7 +52,7 @@ class Lengths(dict):
 class Cutter:
     """Counts tokens of whole texts with one sentencepiece model."""
 
-    def __init__(self, model: bytes, frequent: dict[str, int] | None = None, cache: int = 500_000):
+    def __init__(self, model: bytes, frequent: dict[str, int] | None = None, cache: int = 64 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -113,26 +120,33 @@ def _runs(line: str) -> list[str]:
 
 
 def frequent_lengths(docs: DataFrame, model: bytes, sample_docs: int, keep: int) -> dict[str, int]:
-    """Tier one: counts of the most frequent pre-tokens of at most ``sample_docs`` documents.
+    """Tier one: counts of the ``keep`` most frequent pre-tokens of about ``sample_docs`` documents, chosen by hash.
 
-    The sample only decides what is fast: a pre-token missing here is encoded in full by the worker that
-    meets it. Spark reads partitions only until it has enough rows, and longer texts are left to the workers,
-    so the driver holds at most sample_docs x 20,000 characters.
+    The sample comes from all partitions alike. It only decides what is fast: a pre-token missing here is encoded in full by
+    the worker that meets it, as is any longer than LONG characters.
     """
-    cutter, seen = Cutter(model), Counter()
-    if not cutter.exact:
+    if not Cutter(model).exact:
         return {}
-    for row in docs.where(F.length("text") <= 20_000).select("text").take(sample_docs):
-        seen.update(cutter.cut(row["text"])[0])
-    top = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:keep]]
-    return {p: len(cutter._encode(p)) for p in top}
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text IS NOT NULL").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+        for batch in batches:
+            for text in dict.fromkeys(batch.column(0).to_pylist()):  # copies count once
+                seen.update(p for p in Cutter.cut(text)[0] if len(p) <= LONG)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["piece", "n"])
+
+    top = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(keep).collect()
+    cutter = Cutter(model)
+    return {r["piece"]: len(cutter._encode(r["piece"])) for r in top}
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, sample_docs: int = 1000, keep: int = 50_000, cache: int = 500_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, sample_docs: int = 1000, keep: int = 50_000, cache: int = 64 << 20) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to documents with a ``text`` column.
 
     Whole texts are counted as the model's library gives them, with no begin or end tokens. A null text is
-    empty: 0 bytes, 0 tokens. Rows keep their other columns (a column named like one of the results is
+    empty: 0 bytes, 0 tokens; one of any length is counted whole. Rows keep their other columns (a column named like one of the results is
     replaced), repeated rows are counted each, and an empty table gives no rows. The model file is read on
     the driver and broadcast; executors need no copy.
     """
@@ -147,7 +161,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, sample_doc
         if "cutter" not in held:
             held["cutter"] = Cutter(*shared.value, cache)
         for batch in texts:
-            yield pa.array([held["cutter"].count(x) for x in batch.to_pylist()], pa.int64())
+            yield pa.array([held["cutter"].count(x.as_py()) for x in batch], pa.int64())
 
     counted = F.arrow_udf(count, "long")
     return docs.select(
