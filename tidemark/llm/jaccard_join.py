@@ -71,7 +71,7 @@ def _set_hash(s: np.ndarray) -> bytes:
 
 
 #: N-grams that a task holds before it deals them out, and documents of a chunk, numbered in 16 bits.
-_HELD, _DOCUMENTS = 2_000_000, 65_000
+_HELD, _DOCUMENTS = 500_000, 65_000
 
 #: What a dealt row is: a document, cells of a chunk to be counted, a chunk's own table, counts for a chunk.
 _DOC, _ASK, _OWN, _TOLD = 0, 1, 2, 3

@@ -92,12 +92,15 @@ class LogBilinear:
 
     def normalisers(self, one: int) -> np.ndarray:
         """Log normalisers over all tokens of the contexts that end in class ``one``."""
-        every = np.arange(len(self.context))
-        s = self.predicted(np.full(len(every), one), every) @ self.target[:, :DIM].T + self.target[:, DIM]
-        top = s.max(axis=1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        return top + np.log(s.sum(axis=1))
+        out = np.empty(len(self.context), np.float32)
+        for a in range(0, len(out), 64):
+            two = np.arange(a, min(a + 64, len(out)))
+            s = self.predicted(np.full(len(two), one), two) @ self.target[:, :DIM].T + self.target[:, DIM]
+            top = s.max(axis=1)
+            s -= top[:, None]
+            np.exp(s, out=s)
+            out[two] = top + np.log(s.sum(axis=1))
+        return out
 
     def log_prob(self, one: np.ndarray, two: np.ndarray, token: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
         """Natural log probability of each token after tokens ``one`` and ``two``."""

@@ -187,7 +187,7 @@ def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
     fields = [docs.schema[c] for c in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.small_batches(batches):
+        for batch in textops.small_batches(batches, size=1 << 19):
             c, m = _views(batch)
             columns = [batch.column(x) for x in extra]
             columns += [pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary()) for v in (c, m)]
@@ -243,8 +243,8 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) -> DataFram
     def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns in parts:
             out = []
-            for a in range(0, len(columns[0]), 1024):
-                c, m = _views(pa.RecordBatch.from_arrays([x.slice(a, 1024) for x in columns], names=["text", "source", "lang"]))
+            for a, b in textops.pieces([columns[0]], len(columns[0]), size=1 << 19):
+                c, m = _views(pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in columns], names=["text", "source", "lang"]))
                 out.append(shared.value.scores(c.astype(np.float16), m.astype(np.float16)))
             both = np.concatenate(out) if out else np.zeros((0, 3))
             yield pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(3)], names=["c", "m", "b"])

@@ -109,7 +109,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[n]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few rows and few bytes of text, so what is computed from them stays small.
 
     A row is never cut: a text longer than ``size`` bytes comes by itself.
@@ -119,7 +119,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int
             yield batch.slice(a, b - a)
 
 
-def pieces(texts: list[pa.Array], n: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[pa.Array], n: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive pieces of ``n`` rows, of at most ``rows`` rows and about ``size`` bytes of ``texts``."""
     import pyarrow.compute as pc
 
