@@ -187,6 +187,77 @@ def test_ingest_replays_nothing_and_keeps_late_facts(spark, path, tmp_path):
     assert not write_batch(s, "test", spark.read.parquet(str(tmp_path / "in/a")), 0) and s.manifest["next_seq"] == before
 
 
+def test_a_batch_whose_commit_fails_is_taken_again(spark, path, monkeypatch):
+    from datetime import UTC, datetime
+
+    from tidemark.sources.files import Files
+    from tidemark.streaming.ingest import write_batch
+
+    facts = spark.createDataFrame([("e", datetime(2026, 3, 20, 5, tzinfo=UTC), 1, "put")], "event string, ts timestamp, id long, op string")
+    s = hourly(spark, path)
+    s.register_event("e", "hour", "auto")
+    write, failing = Files.write, [True]
+
+    def broken(self, name, text):
+        if failing:
+            raise OSError("no space")
+        write(self, name, text)
+
+    monkeypatch.setattr(Files, "write", broken)
+    before = (s.manifest["next_seq"], len(s.pending))
+    with pytest.raises(E.CatalogError):
+        write_batch(s, "in", facts, 0)
+    assert (s.manifest["next_seq"], len(s.pending)) == before and not s.manifest["batches"]
+    failing.clear()
+    assert write_batch(s, "in", facts, 0) and not write_batch(s, "in", facts, 0)
+    assert ids(Store(spark, path, read_only=True).get("e", H[5])) == {1}
+
+
+def test_readers_go_on_after_a_compaction_until_the_retention_ends(spark, path):
+    now = [1_000_000.0]
+    s = hourly(spark, path, clock=lambda: now[0], retention=60.0)
+    for k in (1, 2):
+        s.put("e", H[0], [k])
+        s.flush()
+    reader = Store(spark, path, read_only=True)
+    view = reader.get("e", H[0])
+    assert s.compact().periods_compacted == 4 and len(s.files.names("ops")) == 3
+    Store(spark, path, clock=lambda: now[0], retention=60.0)  # another opening for writing
+    assert ids(view) == {1, 2} and ids(reader.get("e", DAY)) == {1, 2}
+    now[0] += 61
+    s.vacuum()
+    assert len(s.files.names("ops")) == 1 and ids(s.get("e", H[0])) == {1, 2}
+
+
+def test_compaction_of_one_event_leaves_other_files_alone(spark, path):
+    s = hourly(spark, path)
+    for k in range(3):
+        for event in ("a:b", "2026", "c"):
+            s.put(event, H[k % 2], [k, 100 + k])
+        s.remove("2026", H[0], [0])
+        s.flush()
+    before, old = state(s), set(s.manifest["ops"])
+    assert s.compact_event("a:b").periods_compacted > 0
+    (new,) = set(s.manifest["ops"]) - old
+    assert s._events_in(new) == {"a:b"} and old <= set(s.manifest["ops"]) and state(s) == before
+    s.put("a:b", H[3], [7])
+    s.compact()
+    assert not old & set(s.manifest["ops"]) and state(s) == before | {("a:b", p.gran, p.key, 7) for p in (H[3], DAY, MONTH, YEAR)}
+    assert len(s.manifest["barriers"]) == 3 and s.cardinality("2026", YEAR) == 5
+    s.drop_event("c")
+    plan = s.get("2026", H[0])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event" in plan
+    assert state(s) == {x for x in state(hourly(spark, path)) if x[0] != "c"}
+
+
+def test_long_lists_are_no_literals(spark, path):
+    s = Store(spark, path)
+    s.put("e", S, range(30_000))
+    assert "LocalTableScan" in s.get("e", S)._jdf.queryExecution().toString() or len(s.get("e", S)._jdf.queryExecution().toString()) < 100_000
+    s.put_ids("n", S, [f"u{i}" for i in range(12_000)])
+    assert s.cardinality("e", S) == 30_000 and s.get("n", S).count() == 12_000
+
+
 def test_dictionary_alone_shares_ids_with_the_store(spark, path):
     from tidemark.sources.dictionary_store import Dictionary
 

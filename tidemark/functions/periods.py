@@ -175,7 +175,7 @@ def parse_period_key(key: str) -> Period:
     """The period that a key names. As in the stored form, a day is only checked to be 1 to 31."""
     if key == STATIC_KEY:
         return Period.static()
-    m = re.fullmatch(r"(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T(\d{2}))?)?)?", key)
+    m = re.fullmatch(r"([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2})(?:T([0-9]{2}))?)?)?", key)
     if not m or len(key) not in _KEYS:
         raise InvalidPeriod(f"no period key: {key!r}")
     year, month, day, hour = (int(x) if x else None for x in m.groups())
@@ -267,7 +267,7 @@ def closed(start: Column, gran: Column, now: Column) -> Column:
 def valid_key(key: Column) -> Column:
     """Does a key name a bucket that exists on the calendar?"""
     padded = F.when(F.length(key) == 4, F.concat(key, F.lit("-01-01T00"))).when(F.length(key) == 7, F.concat(key, F.lit("-01T00"))).when(F.length(key) == 10, F.concat(key, F.lit("T00"))).otherwise(key)
-    shape = key.rlike(r"^\d{4}(-\d{2}(-\d{2}(T\d{2})?)?)?$")
+    shape = key.rlike(r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2})?)?)?$")
     return (key == STATIC_KEY) | (shape & F.try_to_timestamp(padded, F.lit("yyyy-MM-dd'T'HH")).isNotNull())
 
 

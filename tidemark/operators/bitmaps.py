@@ -131,11 +131,51 @@ def _exact(raw: bytes, at: int, size: int) -> bytes:
 
 
 def contains(raw: bytes, id: int) -> bool:
-    """Does a serialised set hold an id? Malformed bytes hold nothing."""
+    """Does a serialised set hold an id? Malformed bytes hold nothing.
+
+    Only the container of the id's high bits is looked at: it is found in the header, and the id in it by bisection.
+    """
     try:
-        return id in set(decode(raw))
-    except BitmapCorrupted:
+        return _contains(raw, id >> 16, id & 0xFFFF)
+    except (struct.error, ValueError, IndexError):
+        return False
+
+
+def _contains(raw: bytes, high: int, low: int) -> bool:
+    (cookie,) = struct.unpack_from("<I", raw, 0)
+    if cookie & 0xFFFF == COOKIE_RUNS:
+        n, flags = (cookie >> 16) + 1, 4
+        at = flags + (n + 7) // 8
+        offsets = n >= NO_OFFSETS
+    elif cookie == COOKIE:
+        (n,), flags, at, offsets = struct.unpack_from("<I", raw, 4), None, 8, True
+        if n > BITS:
+            raise ValueError("too many containers")
+    else:
+        raise ValueError("unknown cookie")
+    heads = np.frombuffer(_exact(raw, at, 4 * n), "<u2").reshape(n, 2)
+    k = int(np.searchsorted(heads[:, 0], high))
+    if k == n or heads[k, 0] != high:
         return False
+    run = lambda i: flags is not None and bool(raw[flags + i // 8] >> i % 8 & 1)
+    at += 4 * n
+    if offsets:
+        (at,) = struct.unpack_from("<I", raw, at + 4 * k)
+    else:  # fewer than four containers, whose sizes add up
+        for i in range(k):
+            size = int(heads[i, 1]) + 1
+            at += 2 + 4 * struct.unpack_from("<H", raw, at)[0] if run(i) else 2 * size if size <= ARRAY_MOST else BITS // 8
+    size = int(heads[k, 1]) + 1
+    if run(k):
+        (count,) = struct.unpack_from("<H", raw, at)
+        runs = np.frombuffer(_exact(raw, at + 2, 4 * count), "<u2").reshape(count, 2)
+        i = int(np.searchsorted(runs[:, 0], low, "right")) - 1
+        return i >= 0 and low - int(runs[i, 0]) <= int(runs[i, 1])
+    if size <= ARRAY_MOST:
+        values = np.frombuffer(_exact(raw, at, 2 * size), "<u2")
+        i = int(np.searchsorted(values, low))
+        return i < size and int(values[i]) == low
+    return bool(_exact(raw, at, BITS // 8)[low // 8] >> low % 8 & 1)
 
 
 def serialize_portable(sets: DataFrame, *keys: str) -> DataFrame:

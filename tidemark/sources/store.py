@@ -2,22 +2,28 @@
 
 Data are Parquet directories that never change once written; ``_manifest.json`` names those that count, and its
 replacement is the only moment at which anything becomes visible. A failed or stopped write leaves directories
-that no manifest names; opening the store for writing removes them.
+that no manifest names; opening the store for writing removes them. Directories that a commit replaces stay for the
+retention time, so readers that hold an older manifest can go on.
 
-Writes are buffered as plans and become one directory at ``flush``. Reads see the buffer. Replacing or dropping
+Writes are buffered as plans and become one directory at ``flush``, with a part an event, so reads and compaction of an
+event leave the files of others alone. Reads see the buffer. Replacing or dropping
 periods flushes at once.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from typing import Protocol
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +34,7 @@ from tidemark.operators import bitmaps, dictionary, oplog, sets
 from tidemark.plans.expr import Ref, SetExpr, evaluate
 from tidemark.sources.files import Files
 
-MANIFEST, VERSION = "_manifest.json", 1
+MANIFEST, VERSION = "_manifest.json", 2
 MAX_ID = sets.MAX_ID
 Ids = Iterable[int] | DataFrame
 Names = Iterable[str] | DataFrame
@@ -44,11 +50,15 @@ class Metrics(Protocol):
     def bitmap_read(self, event: str, period: Period, cached: bool, seconds: float) -> None: ...
     def rollup_performed(self, event: str, source: Period, target: Period) -> None: ...
     def mempart_flushed(self, data_parts: int, delta_parts: int, bytes: int) -> None: ...
-    def compaction_completed(self, periods: int, parts: int, bytes: int) -> None: ...
+    def compaction_completed(self, periods: int, parts: int, deltas: int, bytes: int) -> None: ...
     def period_state_changed(self, event: str, period: Period, old: str, new: str) -> None: ...
     def error_occurred(self, error: Exception) -> None: ...
 
 
+#: Ids or names beyond which a list is sent as Arrow batches, and bits of a range of ids that files keep together.
+LITERAL, RANGE_BITS = 10_000, 22
+
+
 class NullMetrics:
     """Ignores everything."""
 
@@ -67,6 +77,8 @@ class StoreConfig:
     metrics: object = field(default_factory=NullMetrics)
     map_size: int | None = None  # accepted for compatibility, without effect
     index_freshness: str = "disabled"
+    #: Seconds for which files that a commit has replaced stay, for readers that opened before it.
+    retention: float = 86_400.0
 
 
 @dataclass(frozen=True)
@@ -104,7 +116,7 @@ class Health:
 
 
 def _fresh() -> dict:
-    return {"version": VERSION, "next_seq": 1, "next_id": 0, "ops": [], "dictionary": [], "deleted": [], "stats": None, "events": {}, "barriers": [], "states": {}, "written": {}, "batches": [], "log": {}}
+    return {"version": VERSION, "next_seq": 1, "next_id": 0, "ops": {}, "dictionary": [], "deleted": [], "stats": None, "events": {}, "barriers": [], "states": {}, "written": {}, "batches": {}, "log": {}, "retired": {}}
 
 
 class Store:
@@ -154,10 +166,26 @@ class Store:
             self.config.metrics.error_occurred(e)
             raise E.CatalogError(str(e)) from e
 
+    @contextmanager
+    def _whole(self):
+        """A change that is taken back, in memory, if it does not come to its commit."""
+        manifest, pending = copy.deepcopy(self.manifest), list(self.pending)
+        try:
+            yield
+        except BaseException:
+            self.manifest, self.pending = manifest, pending
+            raise
+
+    def _retire(self, *places: str | None) -> None:
+        """Files that the next commit no longer names; readers of older manifests may still need them."""
+        self.manifest["retired"] |= dict.fromkeys(filter(None, places), self.config.clock())
+
     def vacuum(self) -> list[str]:
-        """Removes data directories that the manifest does not name."""
-        live = {*self.manifest["ops"], *self.manifest["dictionary"], *self.manifest["deleted"], self.manifest["stats"]}
-        gone = [f"data/{x}" for x in self.files.names("data") if f"data/{x}" not in live]
+        """Removes data directories that the manifest does not name, replaced ones once the retention has passed."""
+        oldest = self.config.clock() - self.config.retention
+        self.manifest["retired"] = {k: t for k, t in self.manifest["retired"].items() if t > oldest}
+        live = {*self.manifest["ops"], *self.manifest["dictionary"], *self.manifest["deleted"], self.manifest["stats"], *self.manifest["retired"]}
+        gone = [f"{at}/{x}" for at in ("data", "ops") for x in self.files.names(at) if f"{at}/{x}" not in live]
         for x in gone:
             self.files.delete(x)
         return gone
@@ -223,11 +251,15 @@ class Store:
         own = sorted(set(ids))
         if own and not 0 <= own[0] <= own[-1] <= MAX_ID:
             raise E.Configuration("id out of range")
+        if len(own) > LITERAL:  # Arrow batches rather than a literal in the plan
+            return self.spark.createDataFrame(pa.table({"id": pa.array(own, pa.int64())})), len(own)
         return sets.literal_table(self.spark, [(i,) for i in own], "id long"), len(own)
 
     def _names(self, names: Names) -> DataFrame:
         if isinstance(names, DataFrame):
             return names
+        if len(names) > LITERAL:
+            return self.spark.createDataFrame(pa.table({"pos": pa.array(range(len(names)), pa.int64()), "ext_id": pa.array(names, pa.string())}))
         return sets.literal_table(self.spark, list(enumerate(names)), "pos long, ext_id string")
 
     def _targets(self, config: EventConfig, buckets: list[Period]) -> list[Period]:
@@ -412,11 +444,29 @@ class Store:
             live = live.join(self._read(self.manifest["deleted"], "id long"), "id", "left_anti").select("ext_id", "id")
         return live
 
-    def _save(self, df: DataFrame, **options: str) -> str:
+    def _save(self, df: DataFrame) -> str:
         place = f"data/{uuid.uuid4().hex}"
-        df.write.options(**options).parquet(f"{self.path}/{place}")
+        df.write.parquet(f"{self.path}/{place}")
+        return place
+
+    def _save_ops(self, ops: DataFrame) -> str:
+        """Operations in a directory an event, by period and id, with Bloom filters of ids. A large set falls into ranges of ids."""
+        place = f"ops/part={uuid.uuid4().hex}"
+        dealt = ops.repartition("event", "gran", "period_key", F.shiftright("id", RANGE_BITS)).sortWithinPartitions("event", "gran", "period_key", "id")
+        dealt.write.partitionBy("event").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{place}")
+        self.manifest["ops"][place] = self.manifest["next_seq"] - 1
         return place
 
+    def _read_ops(self, places: Iterable[str]) -> DataFrame:
+        places = sorted(places)
+        if not places:
+            return self.spark.createDataFrame([], oplog.OPS)
+        found = self.spark.read.schema(f"{oplog.OPS}, part string").option("basePath", f"{self.path}/ops").parquet(*[f"{self.path}/{x}" for x in places])
+        return found.select(*[c.split()[0] for c in oplog.OPS.split(", ")])
+
+    def _events_in(self, place: str) -> set[str]:
+        return {unquote(x.removeprefix("event=")) for x in self.files.names(place) if x.startswith("event=")}
+
     def _assigned(self, names: Names) -> DataFrame:
         asked = self._names(names)
         if isinstance(names, DataFrame):
@@ -468,7 +518,7 @@ class Store:
     # reads
 
     def _ops(self, pending: bool = True) -> DataFrame:
-        stored = self._read(self.manifest["ops"], oplog.OPS)
+        stored = self._read_ops(self.manifest["ops"])
         return reduce(DataFrame.unionByName, [p[2] for p in self.pending], stored) if pending else stored
 
     def _barriers(self) -> DataFrame | None:
@@ -598,11 +648,11 @@ class Store:
         """Makes the buffer durable: one directory, one manifest."""
         self._check(True)
         if self.pending:
-            rows = reduce(DataFrame.unionByName, [p[2] for p in self.pending])
-            place = self._save(rows)
-            self.manifest["ops"].append(place)
-            data, delta = (sum(p[0] == x for p in self.pending) for x in ("put", "remove"))
-            self._commit()
+            with self._whole():
+                rows = reduce(DataFrame.unionByName, [p[2] for p in self.pending])
+                place = self._save_ops(rows)
+                data, delta = (sum(p[0] == x for p in self.pending) for x in ("put", "remove"))
+                self._commit()
             self.pending = []
             self.config.metrics.mempart_flushed(data, delta, self.files.size(place))
         else:
@@ -658,10 +708,9 @@ class Store:
         self.flush()
         seq = self._next_seq()
         own = self.members().where(F.col("id") == id)
-        place = self._save(own.select(F.lit(seq).cast("long").alias("op_seq"), F.lit("remove").alias("op"), "event", "gran", "period_start", "period_key", "id"))
-        rows = self._read([place], oplog.OPS)
+        place = self._save_ops(own.select(F.lit(seq).cast("long").alias("op_seq"), F.lit("remove").alias("op"), "event", "gran", "period_start", "period_key", "id"))
+        rows = self._read_ops([place])
         counts = {r["event"]: r["count"] for r in rows.groupBy("event").count().collect()}
-        self.manifest["ops"].append(place)
         self.manifest["written"] |= dict.fromkeys(counts, seq)
         self.delete_name(name)
         return sum(counts.values())
@@ -677,36 +726,49 @@ class Store:
         return self._compact([event])
 
     def _compact(self, events: list[str]) -> CompactStats:
+        """Folds the log of those events that have periods worth it; other events' files are not touched.
+
+        The folded rows carry a number of their own, and a barrier of the same number hides all that was before. A directory
+        goes once barriers hide every event in it.
+        """
         self._check(True)
         self.flush()
         out = CompactStats()
-        before = sum(map(self.files.size, self.manifest["ops"]))
         ops, barriers = self._ops(), self._barriers()
         touched = oplog.changed_since(ops.where(F.col("event").isin(events)), barriers).where("puts > 1 OR removes > 0").collect()  # a row a period
         if not touched:
+            self.config.metrics.compaction_completed(0, 0, 0, 0)
             return out
-        work = sorted({r["event"] for r in touched})
-        inside = F.col("event").isin(work)
-        as_of = self.manifest["next_seq"] - 1
-        folded = oplog.fold(ops.where(inside), barriers).select(F.lit(as_of).cast("long").alias("op_seq"), F.lit("put").alias("op"), *oplog.KEY, "id")
-        # an id of a key occurs once in the folded log, so the old order among calls no longer matters
-        place = self._save(oplog.alive(ops.where(~inside), barriers).unionByName(folded).repartition("event", "gran", "period_key").sortWithinPartitions("event", "gran", "period_key", "id"), **{"parquet.bloom.filter.enabled#id": "true"})
-        counts = self._read([place], oplog.OPS).where(inside).groupBy("event", "gran", "period_key").agg(F.count("*").alias("n")).withColumn("as_of_seq", F.lit(as_of).cast("long"))
-        self.manifest["stats"] = self._save(counts)
-        self.manifest["ops"] = [place]
-        self.manifest["barriers"] = []  # all were applied
-        for r in touched:
-            out.periods_compacted += 1
-            out.parts_merged += r["puts"]
-            out.deltas_applied += r["removes"]
-            at = f"{r['event']}/{r['gran']}/{r['period_key']}"
-            old = self.manifest["states"].get(at, "open")
-            self.manifest["states"][at] = "compacted"
-            self.config.metrics.period_state_changed(r["event"], P.parse_period_key(r["period_key"]), old, "compacted")
-        self._commit()
-        out.bytes_reclaimed = max(0, before - self.files.size(place))
+        with self._whole():
+            work = sorted({r["event"] for r in touched})
+            inside = F.col("event").isin(work)
+            as_of = self._next_seq()
+            folded = oplog.fold(ops.where(inside), barriers).select(F.lit(as_of).cast("long").alias("op_seq"), F.lit("put").alias("op"), *oplog.KEY, "id")
+            before = sum(map(self.files.size, self.manifest["ops"]))
+            place = self._save_ops(folded)
+            kinds = "event string, gran string, period_key string, n long, as_of_seq long"
+            counts = self._read_ops([place]).groupBy("event", "gran", "period_key").agg(F.count("*").alias("n")).withColumn("as_of_seq", F.lit(as_of).cast("long"))
+            old = self.manifest["stats"]
+            self.manifest["stats"] = self._save(counts.unionByName(self._read([old], kinds).where(~inside)) if old else counts)
+            hidden = dict.fromkeys(work, as_of)
+            self.manifest["barriers"] = [x for x in self.manifest["barriers"] if x[1] not in hidden] + [[as_of, e, None, None] for e in work]
+            whole = {x[1]: x[0] for x in self.manifest["barriers"] if x[2] is None}
+            gone = [x for x, seq in self.manifest["ops"].items() if x != place and all(whole.get(e, -1) > seq for e in self._events_in(x))]
+            for x in gone:
+                del self.manifest["ops"][x]
+            self._retire(old, *gone)
+            for r in touched:
+                out.periods_compacted += 1
+                out.parts_merged += r["puts"]
+                out.deltas_applied += r["removes"]
+                at = f"{r['event']}/{r['gran']}/{r['period_key']}"
+                state = self.manifest["states"].get(at, "open")
+                self.manifest["states"][at] = "compacted"
+                self.config.metrics.period_state_changed(r["event"], P.parse_period_key(r["period_key"]), state, "compacted")
+            self._commit()
+        out.bytes_reclaimed = max(0, before - sum(map(self.files.size, self.manifest["ops"])))
         self.vacuum()
-        self.config.metrics.compaction_completed(out.periods_compacted, out.parts_merged, out.bytes_reclaimed)
+        self.config.metrics.compaction_completed(out.periods_compacted, out.parts_merged, out.deltas_applied, out.bytes_reclaimed)
         return out
 
     def health(self) -> Health:
