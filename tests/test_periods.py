@@ -98,4 +98,4 @@ def test_interval_counts_of_whole_intervals(spark):
     assert {(x.event, x.gran, x.period_key): x.n for x in counts.collect()} == {k: len(v) for k, v in want.items()}
     buckets = oplog.interval_buckets(df, F.col("a"), F.col("b"), "day", "auto").select("event", "gran", "period_start", "period_key", "id").distinct()
     assert sorted(counts.collect()) == sorted(sets.cardinality(buckets).select("event", "gran", "period_key", "n").collect())
-    assert "range_put_rollup_whole" in catalogue.queries()
+    assert "range_put_rollup" in catalogue.queries()

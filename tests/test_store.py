@@ -281,7 +281,7 @@ def test_dictionary_alone_shares_ids_with_the_store(spark, path):
 def test_store_queries_meet_every_event(spark, small):
     from tidemark.plans import catalogue
 
-    whole, got = spark.read.parquet(f"{small}/events.parquet"), catalogue.queries()["store_ingest_whole"](spark, small)
+    whole, got = spark.read.parquet(f"{small}/events.parquet"), catalogue.queries()["store_ingest"](spark, small)
     want = {tuple(r) for r in whole.selectExpr("event_type", "date_format(ts, \"yyyy-MM-dd'T'HH\")", "user_id").collect()}
     assert {(r.event, r.period_key, r.id) for r in got.where("gran = 'hour'").collect()} == want
     assert len({e for e, *_ in want}) == 5 and len({k[:10] for _, k, _ in want}) > 3

@@ -390,16 +390,8 @@ def range_remove(spark, sf_dir):
     return sets.cardinality(oplog.fold(puts.unionByName(removes))).select("period_key", "n")
 
 
-@query("SELECT event, gran, period_key, count(DISTINCT id) AS n FROM (SELECT DISTINCT event, id, unnest(generate_series(date_trunc('day', a), least(date_trunc('day', b), date_trunc('day', a) + INTERVAL 40 DAY), INTERVAL 1 DAY)) AS d FROM (" + _INTERVALS + ") WHERE a >= '1997-01-15' AND a < '1997-02-01') t, LATERAL (SELECT gran, " + KEY_OF.format("d") + " AS period_key FROM (" + LEVELS + ") WHERE gran <> 'hour') GROUP BY ALL")
-def range_put_rollup(spark, sf_dir):
-    """Intervals of half a month, cut to 41 days, with all coarser buckets once; ``range_put_rollup_whole`` has all."""
-    some = intervals(spark, sf_dir).where("a >= '1997-01-15' AND a < '1997-02-01'").withColumn("b", F.expr("least(date_trunc('day', b), date_trunc('day', a) + INTERVAL 40 DAY)"))
-    rows = oplog.interval_buckets(some, F.col("a"), F.col("b"), "day", "auto").select("event", "gran", "period_start", "period_key", "id").distinct()
-    return sets.cardinality(rows).select("event", "gran", "period_key", "n")
-
-
 @query("SELECT event, gran, period_key, count(DISTINCT id) AS n FROM (SELECT DISTINCT event, id, unnest(generate_series(date_trunc('day', a), date_trunc('day', b), INTERVAL 1 DAY)) AS d FROM (" + _INTERVALS + ")) t, LATERAL (SELECT gran, " + KEY_OF.format("d") + " AS period_key FROM (" + LEVELS + ") WHERE gran <> 'hour') GROUP BY ALL")
-def range_put_rollup_whole(spark, sf_dir):
+def range_put_rollup(spark, sf_dir):
     """All intervals from end to end, with all coarser buckets once."""
     return oplog.interval_counts(intervals(spark, sf_dir), F.col("a"), F.col("b"), "day", "auto")
 
@@ -586,16 +578,12 @@ def serialized_contains(spark, sf_dir):
 # the store itself
 
 
-def _stored(spark, sf_dir, only="event_type IN ('view', 'click') AND ts < '2024-01-04'"):
-    """A store with the users of events, by hour, rolled up: those who viewed or clicked in the first days of the
-    month, or others by ``only``."""
-    from tidemark.sources.scratch import scratch
-    from tidemark.sources.store import Store
-
-    store = Store(spark, scratch(spark), default_granularity="hour", default_rollup="auto")
-    facts = read(spark, sf_dir, "events").where(only)
+def _stored(spark, sf_dir):
+    """A store with the users of all events, by hour, rolled up."""
     from tidemark.streaming.ingest import write_batch
 
+    store = _opened(spark, default_granularity="hour", default_rollup="auto")
+    facts = read(spark, sf_dir, "events")
     rows = facts.select(F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("id"), F.lit("put").alias("op"))
     write_batch(store, "events", rows, 0)
     write_batch(store, "events", rows, 0)  # a replay changes nothing
@@ -615,7 +603,7 @@ def _dropped(store):
     return store.members().select("event", "gran", "period_key", "id")
 
 
-_STORED = f"SELECT event_type AS event, gran, {KEY_TS} AS period_key, user_id AS id FROM events, ({LEVELS}) WHERE event_type IN ('view', 'click') AND ts < '2024-01-04' GROUP BY ALL"
+_STORED = f"SELECT event_type AS event, gran, {KEY_TS} AS period_key, user_id AS id FROM events, ({LEVELS}) GROUP BY ALL"
 
 
 @query(_STORED)
@@ -629,30 +617,149 @@ def store_remove_replace_compact(spark, sf_dir):
     return _changed(_stored(spark, sf_dir))
 
 
-@query(f"SELECT * FROM ({_STORED}) WHERE event = 'view' AND period_key >= '2024-01-02' AND gran <> 'hour'")
+@query(f"SELECT * FROM ({_STORED}) WHERE event <> 'click' AND (event <> 'view' OR period_key >= '2024-01-02' AND gran <> 'hour')")
 def store_drop_retain(spark, sf_dir):
+    """An event dropped, and all periods of another before a day, and all its hours."""
     return _dropped(_stored(spark, sf_dir))
 
 
-_STORED_WHOLE = f"SELECT event_type AS event, gran, {KEY_TS} AS period_key, user_id AS id FROM events, ({LEVELS}) GROUP BY ALL"
+def _opened(spark, **options):
+    """An empty store in the shared folder."""
+    from tidemark.sources.scratch import scratch
+    from tidemark.sources.store import Store
+
+    return Store(spark, scratch(spark), **options)
+
+
+def _customers(spark, sf_dir, where="true"):
+    return read(spark, sf_dir, "customer").where(where).select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("ext_id"))
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query(_STORED_WHOLE)
-def store_ingest_whole(spark, sf_dir):
-    """``store_ingest`` of all events."""
-    return _stored(spark, sf_dir, "true").members().select("event", "gran", "period_key", "id")
+@query("SELECT c_mktsegment AS event, '_static' AS period_key, c_name AS ext_id FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') AND c_nationkey <> 3")
+def store_put_remove_ids(spark, sf_dir):
+    """All customers put by name into their segments, those of a nation removed by name, with names nobody has."""
+    store = _opened(spark)
+    for segment in SEGMENTS:
+        store.put_ids(segment, Period.static(), _customers(spark, sf_dir, f"c_mktsegment = '{segment}'"))
+        store.remove_ids(segment, Period.static(), _customers(spark, sf_dir, "c_nationkey = 3").unionByName(sets.literal_table(spark, [(-1, "nobody")], "pos long, ext_id string")))
+    return store.members().join(store.dictionary(), "id").select("event", "period_key", "ext_id")
 
 
-@query(f"SELECT * FROM ({_STORED_WHOLE}) WHERE NOT (event = 'view' AND id IN (3, 5, 8) AND period_key IN ('2024-01-02', '2024-01', '2024')) AND NOT (event = 'click' AND period_key = '2024-01-03') UNION ALL SELECT 'click', 'day', '2024-01-03', unnest([1, 2])")
-def store_remove_replace_compact_whole(spark, sf_dir):
-    """``store_remove_replace_compact`` over all events."""
-    return _changed(_stored(spark, sf_dir, "true"))
+@query("SELECT strftime(d, '%Y-%m-%d') AS period_key, c_name AS ext_id FROM customer, (SELECT unnest(generate_series(TIMESTAMP '2024-02-27', TIMESTAMP '2024-03-02', INTERVAL 1 DAY)) AS d) WHERE NOT (c_custkey % 7 = 0 AND d IN (TIMESTAMP '2024-02-28', TIMESTAMP '2024-02-29'))")
+def store_put_remove_ids_range(spark, sf_dir):
+    """All customers put by name into an interval of days, some removed from a part of it."""
+    store = _opened(spark)
+    store.put_ids_range("stay", Period.of_day(2024, 2, 27), Period.of_day(2024, 3, 2), _customers(spark, sf_dir))
+    store.remove_ids_range("stay", Period.of_day(2024, 2, 28), Period.of_day(2024, 2, 29), _customers(spark, sf_dir, "c_custkey % 7 = 0"))
+    rows = store.get_range("stay", Period.of_day(2024, 2, 1), Period.of_day(2024, 3, 31))
+    return rows.join(store.dictionary(), "id").select("period_key", "ext_id")
 
 
-@query(f"SELECT * FROM ({_STORED_WHOLE}) WHERE event <> 'click' AND (event <> 'view' OR period_key >= '2024-01-02' AND gran <> 'hour')")
-def store_drop_retain_whole(spark, sf_dir):
-    """``store_drop_retain`` over all events, of which those of other types stay."""
-    return _dropped(_stored(spark, sf_dir, "true"))
+@query(f"SELECT * FROM ({_STORED}) WHERE NOT (event = 'view' AND period_key IN ('2024-01-02', '2024-01-03', '2024-01')) UNION ALL SELECT 'view', 'day', '2024-01-02', unnest([7, 8, 9]) UNION ALL SELECT 'view', 'month', '2024-01', 4000000000")
+def store_bulk_replace(spark, sf_dir):
+    """Two days and a month of all events replaced in one commit, one of them by nothing."""
+    store = _stored(spark, sf_dir)
+    store.bulk_replace("view", [(Period.of_day(2024, 1, 2), [7, 8, 9]), (Period.of_day(2024, 1, 3), []), (Period.of_month(2024, 1), [4_000_000_000])])
+    return store.members().select("event", "gran", "period_key", "id")
+
+
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+def _by_uuid(spark, sf_dir):
+    store = _opened(spark)
+    values = _customers(spark, sf_dir).withColumn("ext_id", F.upper(F.md5("ext_id")))
+    store.put_uuids_range("u", Period.of_day(2024, 1, 1), Period.of_day(2024, 1, 3), values)
+    store.put_uuids("u", Period.of_day(2024, 1, 5), values.where("pos % 2 = 0"))
+    store.remove_uuids("u", Period.of_day(2024, 1, 1), values.where("pos % 3 = 0"))
+    store.remove_uuids_range("u", Period.of_day(2024, 1, 2), Period.of_day(2024, 1, 5), values.where("pos % 5 = 0"))
+    store.put_ids("u", Period.of_day(2024, 1, 1), ["no uuid"])
+    return store
+
+
+@query(f"SELECT 1 AS day, {_UUID} AS ext_id FROM (SELECT c_custkey AS k, md5(c_name) AS h FROM customer) WHERE k % 3 <> 0 UNION ALL SELECT 5, {_UUID} FROM (SELECT c_custkey AS k, md5(c_name) AS h FROM customer) WHERE k % 2 = 0 AND k % 5 <> 0")
+def store_uuids(spark, sf_dir):
+    """UUIDs of all customers put and removed, by day and by interval; a name that is none is not exported."""
+    store = _by_uuid(spark, sf_dir)
+    one = store.get_uuids("u", Period.of_day(2024, 1, 1)).select(F.lit(1).alias("day"), "ext_id")
+    return one.unionByName(store.export_uuids(store.get("u", Period.of_day(2024, 1, 5))).select(F.lit(5).alias("day"), "ext_id"))
+
+
+@query("SELECT c_name, c_custkey % 3 <> 0 AS found, ((c_custkey % 3 <> 0)::INT + 2 * (c_custkey % 5 <> 0)::INT + (c_custkey % 2 = 0 AND c_custkey % 5 <> 0)::INT)::BIGINT AS n FROM customer WHERE c_custkey <= 6 UNION ALL SELECT 'nobody', false, 0")
+def store_uuid_lookups(spark, sf_dir):
+    """Membership of a day, and all memberships, of the first customers' UUIDs."""
+    import hashlib
+
+    store, rows = _by_uuid(spark, sf_dir), []
+    store.pin()
+    for name in [r["ext_id"] for r in _customers(spark, sf_dir, "c_custkey <= 6").collect()] + ["nobody"]:
+        value = hashlib.md5(name.encode()).hexdigest()
+        rows.append((name, store.contains_uuid("u", Period.of_day(2024, 1, 1), value), store.find_memberships_uuid(value).count()))
+    store.unpin()
+    return sets.literal_table(spark, rows, "c_name string, found boolean, n long")
+
+
+@query("SELECT c_name, c_mktsegment = 'BUILDING' AS found, (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS id, c_name AS back FROM customer QUALIFY c_custkey <= 5 UNION ALL SELECT 'nobody', false, NULL, NULL UNION ALL SELECT 'added', true, (SELECT count(*) FROM customer)::BIGINT, 'added'")
+def store_lookups(spark, sf_dir):
+    """Single lookups: membership by name, a name's id, an id's name; one name assigned by itself."""
+    from tidemark.sources.dictionary_store import Dictionary
+
+    store = _opened(spark)
+    store._assigned(_customers(spark, sf_dir))
+    store.put_ids("BUILDING", Period.static(), _customers(spark, sf_dir, "c_mktsegment = 'BUILDING'"))
+    store.put_ids("BUILDING", Period.static(), ["added"])
+    store.flush()
+    words, rows = Dictionary(spark, store.path), []
+    words.get_or_assign("added")
+    for name in [r["ext_id"] for r in _customers(spark, sf_dir, "c_custkey <= 5").collect()] + ["nobody", "added"]:
+        id = words.lookup(name)
+        assert words.contains(name) == (id is not None)
+        rows.append((name, store.contains_id("BUILDING", Period.static(), name), id, words.resolve(id) if id is not None else None))
+    return sets.literal_table(spark, rows, "c_name string, found boolean, id long, back string")
+
+
+@query("SELECT c_mktsegment AS event, c_custkey AS id FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')")
+def store_auto_flush(spark, sf_dir):
+    """All customers put into their segments; what a reader sees without any flush, each put being as large as the buffer."""
+    from tidemark.sources.store import Store
+
+    store = _opened(spark, flush_rows=1)
+    for segment in SEGMENTS:
+        store.put(segment, Period.static(), read(spark, sf_dir, "customer").where(F.col("c_mktsegment") == segment).select(F.col("c_custkey").alias("id")))
+    return Store(spark, store.path, read_only=True).members().select("event", "id")
+
+
+@query("SELECT * FROM (VALUES ('2024-01-02T04', 'compacted'), ('2024-01-02T05', 'closed'), ('2024-01-02', 'compacted')) t(period_key, state)")
+def store_backfill_states(spark, sf_dir):
+    """States of two hours and their day after a compaction of all events and a late write to one of the hours."""
+    store = _stored(spark, sf_dir)
+    hours = [Period.of_hour(2024, 1, 2, h) for h in (4, 5)]
+    for hour in hours:
+        store.remove("view", hour, [4_000_000_000])  # what a compaction has to fold
+    store.compact()
+    store.put("view", hours[1], [1])
+    keys = [*hours, Period.of_day(2024, 1, 2)]
+    return sets.literal_table(spark, [(p.key, store.manifest["states"].get(f"view/{p.gran}/{p.key}", "open")) for p in keys], "period_key string, state string")
+
+
+@query("SELECT DISTINCT user_id AS id FROM events WHERE event_type IN ('view', 'click') AND ts >= '2024-01-05' AND ts < '2024-01-06'")
+def store_query_serialize(spark, sf_dir):
+    """A union from a store of all events as portable bytes, decoded again."""
+    store = _stored(spark, sf_dir)
+    raw = store.query_serialize(Ref("view", DAY) | Ref("click", DAY))
+    return spark.createDataFrame([(i,) for i in bitmaps.decode(raw)], "id long")
+
+
+@query("SELECT * FROM (VALUES ('click', 'hour', 'auto'), ('error', 'hour', 'auto'), ('monthly', 'month', 'none'), ('purchase', 'hour', 'auto'), ('signup', 'hour', 'auto'), ('still', 'none', 'none'), ('view', 'hour', 'auto')) t(name, finest, rollup)")
+def store_registry(spark, sf_dir):
+    """Events that were registered, and those that ingest of all events registered with the store's defaults."""
+    store = _stored(spark, sf_dir)
+    store.register_event("monthly", "month")
+    store.register_event("still", "none", "auto")
+    return sets.literal_table(spark, [(e.name, e.finest, e.rollup) for e in store.list_events()], "name string, finest string, rollup string")
 
 
 def queries() -> dict[str, Query]:

@@ -405,17 +405,23 @@ class Store:
     def _uuid(value) -> str:
         return str(value if isinstance(value, uuid.UUID) else uuid.UUID(str(value)))
 
-    def put_uuids(self, event: str, period: Period, values: list) -> None:
-        self.put_ids(event, period, [self._uuid(x) for x in values])
+    def _uuids(self, values: list | DataFrame) -> Names:
+        """Canonical forms; (pos, ext_id) of a table, where anything else raises an error."""
+        if isinstance(values, DataFrame):
+            return values.select("pos", F.coalesce(dictionary.canonical_uuid(F.col("ext_id")), F.raise_error(F.lit("no UUID"))).alias("ext_id"))
+        return [self._uuid(x) for x in values]
 
-    def put_uuids_range(self, event: str, first: Period, last: Period, values: list) -> None:
-        self.put_ids_range(event, first, last, [self._uuid(x) for x in values])
+    def put_uuids(self, event: str, period: Period, values: list | DataFrame) -> None:
+        self.put_ids(event, period, self._uuids(values))
 
-    def remove_uuids(self, event: str, period: Period, values: list) -> None:
-        self.remove_ids(event, period, [self._uuid(x) for x in values])
+    def put_uuids_range(self, event: str, first: Period, last: Period, values: list | DataFrame) -> None:
+        self.put_ids_range(event, first, last, self._uuids(values))
 
-    def remove_uuids_range(self, event: str, first: Period, last: Period, values: list) -> None:
-        self.remove_ids_range(event, first, last, [self._uuid(x) for x in values])
+    def remove_uuids(self, event: str, period: Period, values: list | DataFrame) -> None:
+        self.remove_ids(event, period, self._uuids(values))
+
+    def remove_uuids_range(self, event: str, first: Period, last: Period, values: list | DataFrame) -> None:
+        self.remove_ids_range(event, first, last, self._uuids(values))
 
     def get_uuids(self, event: str, period: Period) -> DataFrame:
         return sets.get_uuids(self.members(), self.dictionary(), event, period)
