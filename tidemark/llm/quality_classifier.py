@@ -1,7 +1,7 @@
 """A quality classifier by co-training.
 
-Two logistic models look at a document through separate views: the words and characters of its text, and its
-page metadata (source, language, length and layout counts). Both start from the labelled rows. In each round
+Two logistic models look at a document through separate views: the words, characters and layout of its text, and its
+page metadata (source, language and recorded length), which are no function of what is written. Both start from the labelled rows. In each round
 either model labels a pool of unlabelled rows, and the rows that it is most sure of teach the other one. The
 scores of both are calibrated on labelled rows set aside, and their log odds are added to score all documents.
 
@@ -11,20 +11,27 @@ of fixed width, are computed by the executors and only they reach the driver. Sc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
 
-CONTENT, META = 1024, 96
+GRAMS, LAYOUT, META = 1024, 32, 96
+CONTENT = GRAMS + LAYOUT
 MADE = ("quality_content", "quality_metadata", "quality_score", "quality_keep")
 
 
 def content_features(texts: pa.Array) -> np.ndarray:
+    """What is written, and how it is laid out."""
+    return np.concatenate([gram_features(texts), layout_features(texts)], axis=1)
+
+
+def gram_features(texts: pa.Array) -> np.ndarray:
     """Hashed byte 1- to 3-grams and words of each text, as the root of their shares: lengths don't matter."""
     import pyarrow.compute as pc
 
@@ -33,33 +40,28 @@ def content_features(texts: pa.Array) -> np.ndarray:
     # the shape of what is written counts here, so case is kept for the grams
     raw = np.frombuffer(b"".join(x.encode() for x in whole.to_pylist()), np.uint8).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    out = np.zeros(len(texts) * CONTENT)
-    third = CONTENT // 4
+    out = np.zeros(len(texts) * GRAMS)
+    third = GRAMS // 4
     code, place, end = raw.copy(), np.arange(len(raw)), np.repeat(offsets[1:], np.diff(offsets))
     for k in range(3):
         own = place + k < end  # grams that end within their text
         cell = (textops.mix(code[own] + np.uint64(k << 40)) % np.uint64(third)).astype(np.int64) + k * third
-        out += np.bincount(row[own] * CONTENT + cell, minlength=len(out))
+        out += np.bincount(row[own] * GRAMS + cell, minlength=len(out))
         n = max(0, len(raw) - k - 1)
         code[:n] = (code[:n] << np.uint64(8)) | raw[len(raw) - n :]
     starts, ends, first = textops.spans(lower, offsets, textops.SPACE_SEPARATED)
     words = textops.hashes(lower, starts, ends)
     word_row = np.repeat(np.arange(len(texts)), np.diff(first))
-    out += np.bincount(word_row * CONTENT + 3 * third + (words % np.uint64(third)).astype(np.int64), minlength=len(out))
+    out += np.bincount(word_row * GRAMS + 3 * third + (words % np.uint64(third)).astype(np.int64), minlength=len(out))
     out = out.reshape(len(texts), 4, third)
-    return np.sqrt(out / np.maximum(1, out.sum(axis=2, keepdims=True))).reshape(len(texts), CONTENT).astype(np.float32)
+    return np.sqrt(out / np.maximum(1, out.sum(axis=2, keepdims=True))).reshape(len(texts), GRAMS).astype(np.float32)
 
 
-def metadata_features(texts: pa.Array, sources: list, langs: list) -> np.ndarray:
-    """Hashed source and language, and layout: lengths, line counts and shares of kinds of bytes."""
+def layout_features(texts: pa.Array) -> np.ndarray:
+    """Shares of kinds of bytes, of upper case and of repeated lines, and lengths of words and lines."""
     n = len(texts)
     lower, offsets = textops.utf8(texts)
-    out = np.zeros((n, META), np.float32)
-    import zlib
-
-    for k, (s, x) in enumerate(zip(sources, langs, strict=True)):
-        out[k, 32 + zlib.crc32(str(s).encode()) % 32] = 1
-        out[k, 64 + zlib.crc32(str(x).encode()) % 32] = 1
+    out = np.zeros((n, LAYOUT), np.float32)
     size = np.diff(offsets).astype(np.float64)
     row = np.repeat(np.arange(n), np.diff(offsets))
     original = [x or "" for x in texts.to_pylist()]
@@ -75,17 +77,33 @@ def metadata_features(texts: pa.Array, sources: list, langs: list) -> np.ndarray
     n_lines = np.array([len(x) for x in lines])
     repeated = np.array([1 - len(set(x)) / len(x) for x in lines])
     upper = np.array([sum(map(str.isupper, x)) for x in original]) / np.maximum(1, size)
-    out[:, 0] = 1
     out[:, 1:6] = share
     out[:, 6] = upper
     out[:, 7] = repeated
     for k, x in enumerate((size, words, n_lines, size / np.maximum(1, words), size / n_lines)):
         out[:, 8 + k] = np.log1p(x) / 5
-    signs = lambda x, limits: np.stack([x > t for t in limits], axis=1)  # noqa: E731  coarse steps make a linear model bend
-    out[:, 14:19] = signs(share[:, 4], (0.02, 0.05, 0.1, 0.2, 0.4))
-    out[:, 19:23] = signs(upper, (0.05, 0.1, 0.3, 0.6))
-    out[:, 23:26] = signs(repeated, (0.05, 0.2, 0.5))
-    out[:, 26:29] = signs(share[:, 2], (0.02, 0.1, 0.3))
+    out[:, 14:19] = _steps(share[:, 4], (0.02, 0.05, 0.1, 0.2, 0.4))
+    out[:, 19:23] = _steps(upper, (0.05, 0.1, 0.3, 0.6))
+    out[:, 23:26] = _steps(repeated, (0.05, 0.2, 0.5))
+    out[:, 26:29] = _steps(share[:, 2], (0.02, 0.1, 0.3))
+    return out
+
+
+def _steps(x: np.ndarray, limits: tuple) -> np.ndarray:
+    """Coarse steps, with which a linear model can bend."""
+    return np.stack([x > t for t in limits], axis=1)
+
+
+def metadata_features(sources: list, langs: list, lengths: list) -> np.ndarray:
+    """Hashed source and language, and the recorded length."""
+    out = np.zeros((len(sources), META), np.float32)
+    for k, (s, x) in enumerate(zip(sources, langs, strict=True)):
+        out[k, 32 + zlib.crc32(str(s).encode()) % 32] = 1
+        out[k, 64 + zlib.crc32(str(x).encode()) % 32] = 1
+    length = np.log1p(np.array([max(0, x or 0) for x in lengths], np.float64))
+    out[:, 0] = length / 5
+    out[:, 1:13] = _steps(length, tuple(range(2, 14)))
+    out[:, 13] = [x is None for x in lengths]
     return out
 
 
@@ -199,21 +217,31 @@ def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts = batch.column("text")
-    return content_features(texts), metadata_features(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist())
+    return content_features(batch.column("text")), metadata_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+
+
+def _length(docs: DataFrame) -> Column:
+    """The length on the page's record; where there is no such column, that of the text."""
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long").alias("n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 5000, rounds: int = 3) -> CoTrained:
-    """Fits on at most about ``labelled`` rows with a quality label and ``pool`` rows without one."""
+    """Fits on at most about ``labelled`` rows with a quality label and ``pool`` rows without one, both chosen by hash.
+
+    ``docs`` has doc_id, text, source and lang, and n_chars unless the text's length is to stand for it; a null in any of them
+    is a value of its own, a null doc_id teaches nothing. Of several labels of a doc_id the largest counts, and every row of that
+    doc_id has it; texts of any length are read whole. Empty tables, and labels of one kind or fewer than eight, give a model that
+    knows only their share. Other columns are ignored.
+    """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n_labels, n_docs = one.count(), docs.count()
     part = lambda most, n: place < int((1 << 30) * min(1.0, most / max(1, n)))
     chosen = one.where(part(labelled, n_labels))  # a bounded number of ids
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", _length(docs))
     near = rows.join(F.broadcast(chosen), "doc_id", "left")
     near = near.where(F.col("quality").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool / max(1, n_docs)))))
-    found = _features(near.select("doc_id", "text", "source", "lang", "quality").withColumn("quality", F.col("quality").cast("double")), ["doc_id", "quality"])
+    found = _features(near.select("doc_id", "text", "source", "lang", "n_chars", "quality").withColumn("quality", F.col("quality").cast("double")), ["doc_id", "quality"])
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "content", "meta").toArrow()
 
     y = np.array([np.nan if x is None else float(x > 0) for x in got["quality"].to_pylist()])
@@ -233,21 +261,23 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 50
 def score(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) -> DataFrame:
     """Adds quality_content, quality_metadata, quality_score (probabilities) and quality_keep (score >= keep_from).
 
-    ``docs`` has text, source and lang; null ones count as a value of their own, a null text as an empty one.
-    Every row is scored, repeated ones alike; other columns stay, columns named like the results are replaced,
-    and an empty table gives no rows. Where the labels have fewer than two kinds, every row gets their share.
+    ``docs`` has text, source and lang, and n_chars unless the text's length is to stand for it; null ones count as a value of
+    their own, a null text as an empty one, and a text of any length is read whole. Every row is scored, repeated ones and ties
+    alike; other columns stay, whatever their names, columns named like the results are replaced, and an empty table gives no rows. Where the labels have fewer than two kinds, every row gets their share.
     """
-    docs = docs.drop(*MADE)
+    names = [c for c in docs.columns if c not in MADE]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in parts:
             out = []
             for a, b in textops.pieces([columns[0]], len(columns[0]), size=1 << 19):
-                c, m = _views(pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in columns], names=["text", "source", "lang"]))
+                c, m = _views(pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in columns], names=["text", "source", "lang", "n_chars"]))
                 out.append(shared.value.scores(c.astype(np.float16), m.astype(np.float16)))
             both = np.concatenate(out) if out else np.zeros((0, 3))
             yield pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(3)], names=["c", "m", "b"])
 
-    scored = docs.withColumn("_q", F.arrow_udf(run, "c double, m double, b double")("text", "source", "lang"))
-    return scored.select(*docs.columns, F.col("_q.c").alias(MADE[0]), F.col("_q.m").alias(MADE[1]), F.col("_q.b").alias(MADE[2]), (F.col("_q.b") >= keep_from).alias(MADE[3]))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so no name can clash
+    scored = docs.select(row, F.arrow_udf(run, "c double, m double, b double")("text", "source", "lang", _length(docs)).alias("q"))
+    made = [F.col(f"q.{k}").alias(name) for k, name in zip("cmb", MADE, strict=False)]
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *made, (F.col("q.b") >= keep_from).alias(MADE[3]))
