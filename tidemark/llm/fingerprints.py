@@ -109,15 +109,16 @@ def vectors(texts: list[str]) -> list[Vector]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds ``fingerprint`` (hex) to rows with a ``text``; a null or blank text has the zero fingerprint.
 
-    Rows keep their other columns; repeated rows are handled each; an empty table gives no rows.
+    Rows keep their other columns, whatever their names; a column named like the result is replaced, repeated rows are handled
+    each, a text of any length is read whole, and an empty table gives no rows.
     """
     docs = docs.drop("fingerprint")
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             out = []
-            for a in range(0, len(batch), 256):
-                out += [v.text() for v in vectors([x or "" for x in batch.slice(a, 256).to_pylist()])]
+            for a, b in textops.pieces([batch], len(batch), 256):
+                out += [v.text() for v in vectors([x or "" for x in batch.slice(a, b - a).to_pylist()])]
             yield pa.array(out, pa.string())
 
     return docs.withColumn("fingerprint", F.arrow_udf(run, "string")("text"))
@@ -129,34 +130,50 @@ def changed(before: Vector, old: list[str], new: list[str]) -> Vector:
     return before - both[0] + both[1]
 
 
+def _cut(docs: DataFrame, n: int) -> DataFrame:
+    """Adds ``bucket``, of about ``n`` that hold as many rows each: they count up as doc_id goes down, and null ones come last.
+
+    Cuts are quantiles of doc_id, so one that lies far off moves nothing; null doc_ids are cut by the hash of their text.
+    """
+    rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 and known else None
+    cuts = sorted(set(cuts or ()), reverse=True)
+    step = max(1, int(len(cuts) ** 0.5))
+    literal = lambda values: F.array(*map(F.lit, values)).cast(T.ArrayType(docs.schema["doc_id"].dataType))
+    above = lambda values: F.size(F.filter(values, lambda c: c > F.col("doc_id")))  # noqa: E731  how many cuts are larger
+    coarse = above(literal(cuts[::step])) - 1
+    bucket = F.when(coarse < 0, 0).otherwise(coarse * step + above(F.slice(literal(cuts), coarse * step + 1, F.lit(step))))
+    parts = max(1, -(-n * (rows - known) // max(1, rows)))
+    last = F.least(F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1))
+    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), n + last).otherwise(bucket).cast("int"))
+
+
 def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of documents (doc_id, text), of each one's edited text, and their likenesses.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many
     (or all) of the next document, in descending doc_id; after the last comes the first. Its fingerprint is
     made from the document's by taking away the paragraphs from the cut on and adding the new ones. A null text is
-    empty. Rows with equal doc_ids follow one another ordered by text, null doc_ids come last, a single row
-    is its own next. Columns other than doc_id and text are dropped.
+    empty; one of any length is handled whole. Rows with equal doc_ids follow one another ordered by the hash of the text and
+    then by the text, and are one task's; null doc_ids come last, a single row is its own next, an empty table gives no rows.
+    Columns other than doc_id and text are dropped.
 
     Rows are dealt once, by ranges of doc_id; a bucket also gets a copy of the first rows of the bucket that
     follows, so each row's next one is at hand and no range waits for another.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // n))
-    # buckets count up as doc_id goes down; null doc_ids have the last one
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.floor((F.lit(high).cast("double") - F.col("doc_id").cast("double")) / float(width))).cast("int")
-    dealt = docs.withColumn("bucket", bucket)
-    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head"))  # a row a bucket
+    dealt = _cut(docs, n).withColumn("place", F.struct("doc_id", F.bitwise_not("h").alias("h")))
+    heads = dealt.groupBy("bucket").agg(F.max("place").alias("head"))  # a row a bucket
     up = Window.orderBy("bucket")
     heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(up), F.max("bucket").over(Window.partitionBy())))
     dealt = dealt.join(F.broadcast(heads), "bucket", "left")
     here, extra = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("b"), F.lit(True).alias("extra"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(here, extra)).otherwise(F.array(here))
-    dealt = dealt.withColumn("to", F.explode(copies)).select("doc_id", "text", F.col("to.b").alias("bucket"), F.col("to.extra").alias("extra"))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
+    copies = F.when(F.col("place").eqNullSafe(F.col("head")), F.array(here, extra)).otherwise(F.array(here))
+    dealt = dealt.withColumn("to", F.explode(copies)).select("doc_id", "text", "h", F.col("to.b").alias("bucket"), F.col("to.extra").alias("extra"))
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "h", "text").drop("h")
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType())]
         + [T.StructField(x, T.StringType()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")]
