@@ -3,7 +3,7 @@ import re
 
 from tests.oracle import assert_same
 from tidemark.llm import q_jaccard_join as q
-from tidemark.llm.jaccard_join import similarity_components
+from tidemark.llm.jaccard_join import one_of_each, similarity_components
 
 
 def shingles(text, n=5):
@@ -64,6 +64,46 @@ def test_equals_brute_force(spark):
         assert rows(similarity_components(df)) == brute(docs)
 
 
+def near_copies(r, base, n, edits, vocabulary):
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(r.randrange(edits + 1)):
+            own[r.randrange(len(own))] = r.choice(vocabulary)
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_groups_long_texts_and_null_ids(spark, monkeypatch):
+    from tidemark.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "_HELD", 2000)  # many chunks
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base, other = ([r.choice(vocabulary) for _ in range(120)] for _ in range(2))
+    passage = " ".join(r.choice(vocabulary) for _ in range(60))
+    texts = near_copies(r, base, 150, 6, vocabulary) + near_copies(r, other, 60, 9, vocabulary)
+    texts += [" ".join(r.choice(vocabulary) for _ in range(40)) + f" {passage}" for _ in range(60)]  # alike in a passage only
+    long = [r.choice(vocabulary) for _ in range(60_000)]
+    texts += [" ".join(long), " ".join([*long, "end"]), texts[0].upper(), texts[0]]
+    docs = [(i + 10, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*docs, (None, texts[1]), (None, "all alone here by itself"), (None, None), (None, "")], "doc_id long, text string").repartition(3)
+    got = similarity_components(df).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got if x.doc_id is not None) == brute(docs)
+    of = {x.doc_id: x.component_id for x in got}
+    assert sorted(((x.n_shingles, x.component_id) for x in got if x.doc_id is None), key=repr) == sorted([(len(shingles(texts[1])), of[11]), (1, None), (0, None), (0, None)], key=repr)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "_k1 string, _bucket string, _comp string, kind string, chunk string, cls string, size string, part string, _rest string, _row string"
+    df = spark.createDataFrame([(1, "a b c d e f", *"qrstuvwxyz"), (2, "a b c d e f", *"qrstuvwxyz")], f"doc_id long, text string, {names}")
+    for x in similarity_components(df).collect():
+        assert tuple(x)[1:11] == tuple("qrstuvwxyz") and x.component_id == 1
+    (x,) = one_of_each(df).collect()
+    assert tuple(x) == (1, "a b c d e f", *"qrstuvwxyz")
+    assert one_of_each(df.limit(0)).count() == 0
+
+
 def test_empty_table_and_nothing_in_common(spark):
     df = spark.createDataFrame([(2, "a b c d e f"), (1, "g h i j k l")], "doc_id long, text string")
     assert rows(similarity_components(df)) == [(1, 2, 1), (2, 2, 2)]

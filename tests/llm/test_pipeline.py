@@ -59,3 +59,20 @@ def test_copies_with_one_id_leave_one(spark):
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
     got = Counter((r.doc_id, (r.text or "").lower()) for r in one_of_each(df).collect())
     assert got == Counter({(5, "a b c d e f g"): 1, (None, "x y z x y z"): 1, (7, ""): 2, (8, ""): 1, (1, "other words stand here alone"): 1})
+
+
+def test_stages_take_nulls_empty_tables_and_any_names(spark, small, tmp_path):
+    names = ["_k1", "_source", "_base", "row", "key", "tests", "place", "_hit_words"]
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 100_000, "en", "s", 500_000), (2, "word " * 100_000, "en", "s", 500_000), (3, "A good sentence stands here.", None, None, None)]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, df.limit(0), small).count() == 0, name
+        stage(spark, df, small).write.parquet(str(tmp_path / str(k)))
+        got = spark.read.parquet(str(tmp_path / str(k)))
+        assert all([r[n] for n in names] == names for r in got.collect()), name
+        ids = sorted(((r.doc_id or 0), r.text or "") for r in got.collect())
+        whole = sorted(((r[0] or 0), r[1] or "") for r in rows)
+        if name in ("decontamination", "secrets", "mixing"):
+            assert ids == whole
+        if name == "near_duplicates":
+            assert ids == sorted(set(whole))

@@ -148,7 +148,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     of hit words cut from its text.
 
     A-Z count as a-z; words are runs of other characters than ASCII ones that are no letter or digit. A null
-    or empty text has no words and is clean; so is an item with no words. Repeated rows and item ids are
+    or empty text has no words and is clean; so is an item with no words. A text of any length is scanned whole, texts are taken
+    up by about a million bytes at a time. Repeated rows and item ids are
     handled as they come (items with equal ids count once; a null id reads "null"), an empty benchmark marks
     nothing, other columns stay, and columns named like the results are replaced.
     """
