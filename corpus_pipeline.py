@@ -2,7 +2,8 @@
 
 quality: documents that the co-trained classifier rejects go. near_duplicates: one document of each group of
 similar ones stays. decontamination: documents with passages of the benchmark go. secrets: secrets in texts are
-replaced by a mark. mixing: the places of all documents in a mixture of their sources are added.
+replaced by a mark. mixing: the places of all documents in a mixture of their sources are added. Texts of any length are
+taken whole, extra columns stay whatever their names, and an empty table stays one.
 """
 
 from __future__ import annotations
@@ -20,23 +21,28 @@ from tidemark.llm.textops import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught by ``labels``, keeps. Nulls are values of their own; without labels all stay."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, model).where("quality_keep").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group. Documents without words, null or empty, all stay."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``. Null and empty texts have none."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked, with n_chars of the masked text (null for a null text)."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their places in the mixture. A null source is one of its own."""
     return mix(docs)
 
 
