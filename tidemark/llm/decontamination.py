@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textops
 
-MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_hit_words", "_hit_items")
+MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -96,10 +96,10 @@ def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray)
     return (b"".join(kept) + raw[at:]).decode()
 
 
-def _scanned(docs: DataFrame, shared, mode: str, again: bool, last: bool) -> DataFrame:
-    """One scan: ``again`` starts from what an earlier block found, ``last`` gives the results."""
-    base = [f for f in docs.schema.fields if f.name not in MADE]
-    state = [T.StructField("_hit_words", T.BinaryType()), T.StructField("_hit_items", T.ArrayType(T.StringType()))]
+def _scanned(docs: DataFrame, shared, mode: str, held: tuple[str, str], again: bool, last: bool) -> DataFrame:
+    """One scan: ``again`` starts from what an earlier block found and holds in two columns, ``last`` gives the results."""
+    base = [f for f in docs.schema.fields if f.name not in held]
+    state = [T.StructField(held[0], T.BinaryType()), T.StructField(held[1], T.ArrayType(T.StringType()))]
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _scanned(docs: DataFrame, shared, mode: str, again: bool, last: bool) -> Dat
             hit, items = windows.scan(data, starts, ends, first)
             rows = range(batch.num_rows)
             if again:
-                for k, (mask, had) in enumerate(zip(batch.column("_hit_words").to_pylist(), batch.column("_hit_items").to_pylist(), strict=True)):
+                for k, (mask, had) in enumerate(zip(batch.column(held[0]).to_pylist(), batch.column(held[1]).to_pylist(), strict=True)):
                     hit[first[k] : first[k + 1]] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=first[k + 1] - first[k]).astype(bool)
                     if had:
                         items.setdefault(k, set()).update(had)
@@ -151,7 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     or empty text has no words and is clean; so is an item with no words. A text of any length is scanned whole, texts are taken
     up by about a million bytes at a time. Repeated rows and item ids are
     handled as they come (items with equal ids count once; a null id reads "null"), an empty benchmark marks
-    nothing, other columns stay, and columns named like the results are replaced.
+    nothing, other columns stay, whatever their names, and columns named like the results are replaced.
     """
     if mode not in ("report", "documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -160,11 +160,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size // block_bytes))
+    longest = max(map(len, docs.columns))
+    held = tuple(f"{x}_{'_' * longest}" for x in ("words", "items"))  # no column has such a name
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         own = items.where(block == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in own.toLocalIterator()], n))
-        docs = _scanned(docs, shared, mode, again=k > 0, last=k == blocks - 1)
+        docs = _scanned(docs, shared, mode, held, again=k > 0, last=k == blocks - 1)
         if k < blocks - 1:
             docs = docs.checkpoint()
             shared.unpersist()

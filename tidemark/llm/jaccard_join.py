@@ -190,6 +190,7 @@ def _counted(dealt: DataFrame, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns + [pa.nulls(m, f.type) for f in list(schema)[4:]], names=names)
 
         for batch in batches:
+            textops.release()
             schema = batch.schema
             kinds = batch.column("kind")
             asks = pa.compute.equal(kinds, _ASK)
@@ -253,6 +254,7 @@ def _posted(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, own, told = None, b"", []
         for batch in batches:
+            textops.release()
             for kind, part, c, body in zip(*(batch.column(k).to_pylist() for k in ("kind", "part", "chunk", "body")), strict=True):
                 if kind == _OWN:
                     if chunk is not None and (out := prefixes(own, told)):
@@ -306,6 +308,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, shelf: S
 
 def _clustered(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``docs`` without text, with keys of the text (_k1, _k2), ``size`` and ``_comp``, a component's class."""
+    with textops.arrow_rows(docs.sparkSession):  # all jobs with texts run here
+        return _joined(docs, n, percent)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     shelf = Shelf(spark)
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})

@@ -242,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 50
     near = rows.join(F.broadcast(chosen), "doc_id", "left")
     near = near.where(F.col("quality").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool / max(1, n_docs)))))
     found = _features(near.select("doc_id", "text", "source", "lang", "n_chars", "quality").withColumn("quality", F.col("quality").cast("double")), ["doc_id", "quality"])
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "content", "meta").toArrow()
+    with textops.arrow_rows(docs.sparkSession):
+        got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "content", "meta").toArrow()
 
     y = np.array([np.nan if x is None else float(x > 0) for x in got["quality"].to_pylist()])
 
@@ -276,6 +277,7 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) -> DataFram
                 out.append(shared.value.scores(c.astype(np.float16), m.astype(np.float16)))
             both = np.concatenate(out) if out else np.zeros((0, 3))
             yield pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(3)], names=["c", "m", "b"])
+            textops.release()
 
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so no name can clash
     scored = docs.select(row, F.arrow_udf(run, "c double, m double, b double")("text", "source", "lang", _length(docs)).alias("q"))

@@ -7,7 +7,10 @@ so a byte scan finds the same words as a code-point scan.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,12 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
 
+try:
+    _libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    _libc.malloc_trim  # noqa: B018  other C libraries have none
+except (OSError, AttributeError):
+    _libc = None
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CHUNK = 1 << 20
@@ -117,6 +126,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int
     for batch in batches:
         for a, b in pieces([c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)], batch.num_rows, rows, size):
             yield batch.slice(a, b - a)
+        release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, which numpy's and Arrow's allocators would keep in idle workers."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch that goes to Python, for the jobs that run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
 
 
 def pieces(texts: list[pa.Array], n: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
