@@ -53,12 +53,18 @@ def asked(spark: SparkSession, sf_dir: str, expr: SetExpr) -> DataFrame:
     return me(spark, sf_dir, only=refs(expr), repeats=True)
 
 
-def mo(spark: SparkSession, sf_dir: str, gran: str = "year") -> DataFrame:
-    return sets.membership(read(spark, sf_dir, "orders"), F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderdate"), gran)
+def mo(spark: SparkSession, sf_dir: str, gran: str = "year", only: list[Ref] | None = None, repeats: bool = False) -> DataFrame:
+    return sets.membership(read(spark, sf_dir, "orders"), F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderdate"), gran, "none", only, repeats)
 
 
-def ms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.membership(read(spark, sf_dir, "customer"), F.col("c_mktsegment"), F.col("c_custkey"))
+def ms(spark: SparkSession, sf_dir: str, only: list[Ref] | None = None, repeats: bool = False) -> DataFrame:
+    return sets.membership(read(spark, sf_dir, "customer"), F.col("c_mktsegment"), F.col("c_custkey"), only=only, repeats=repeats)
+
+
+def mo_ms(spark: SparkSession, sf_dir: str, expr: SetExpr) -> DataFrame:
+    """The facts of MO and MS that an expression refers to, timed and static sets, repeats and all."""
+    timed, static = ([r for r in refs(expr) if bool(r.period.rank) == x] for x in (True, False))
+    return mo(spark, sf_dir, only=timed, repeats=True).unionByName(ms(spark, sf_dir, static, repeats=True))
 
 
 def md(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +112,12 @@ def get_day(spark, sf_dir):
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
 def get_static(spark, sf_dir):
-    return sets.get(ms(spark, sf_dir), "BUILDING", Period.static())
+    return sets.get(ms(spark, sf_dir, [Ref("BUILDING", Period.static())]), "BUILDING", Period.static())
 
 
 @query("SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS period_start, strftime(ts, '%Y-%m-%d') AS period_key, user_id AS id FROM events WHERE event_type = 'click' AND ts >= '2024-01-05' AND ts < '2024-01-09'")
 def get_range_day(spark, sf_dir):
-    return sets.get_range(me(spark, sf_dir), "click", DAY, Period.of_day(2024, 1, 8)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+    return sets.get_range(me(spark, sf_dir, only=[Ref("click", DAY), Ref("click", Period.of_day(2024, 1, 8))]), "click", DAY, Period.of_day(2024, 1, 8)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id AS id FROM events WHERE event_type = 'nothing'")
@@ -126,13 +132,14 @@ def get_range_reversed_empty(spark, sf_dir):
 
 @query(f"SELECT * FROM (VALUES ('view', '2024-01-05'), ('view', '2023-01-05'), ('none', '2024-01-05')) v(event, period_key), LATERAL (SELECT count(*) > 0 AS found FROM ({_ME}) WHERE event = v.event AND k = v.period_key)")
 def exists_flags(spark, sf_dir):
-    return sets.exists(me(spark, sf_dir), [Ref("view", DAY), Ref("view", Period.of_day(2023, 1, 5)), Ref("none", DAY)])
+    keys = [Ref("view", DAY), Ref("view", Period.of_day(2023, 1, 5)), Ref("none", DAY)]
+    return sets.exists(me(spark, sf_dir, only=keys, repeats=True), keys)
 
 
 @query(f"SELECT pos, id, id IN ({VIEW}) AS found FROM (SELECT range AS pos, (range * 7) % 200 AS id FROM range(0, 40))")
 def contains_batch(spark, sf_dir):
     probe = spark.range(0, 40).select(F.col("id").alias("pos"), (F.col("id") * 7 % 200).alias("id"))
-    return sets.contains_batch(me(spark, sf_dir), "view", DAY, probe)
+    return sets.contains_batch(me(spark, sf_dir, only=[Ref("view", DAY)]), "view", DAY, probe)
 
 
 _PROBE = "SELECT range AS pos, printf('Customer#%09d', range * 3) AS ext_id FROM range(0, 120)"
@@ -169,7 +176,7 @@ def cardinality_one(spark, sf_dir):
 
 @query(f"SELECT k AS period_key, count(*) AS n FROM ({_ME}) WHERE event = 'view' AND k BETWEEN '2024-01-03' AND '2024-01-12' GROUP BY ALL")
 def cardinality_range_day(spark, sf_dir):
-    return sets.cardinality_range(me(spark, sf_dir), "view", Period.of_day(2024, 1, 3), Period.of_day(2024, 1, 12)).select("period_key", "n")
+    return sets.cardinality_range(me(spark, sf_dir, only=[Ref("view", Period.of_day(2024, 1, d)) for d in (3, 12)]), "view", Period.of_day(2024, 1, 3), Period.of_day(2024, 1, 12)).select("period_key", "n")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%dT%H') AS period_key, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'view' AND ts >= '2024-01-05 22:00' AND ts < '2024-01-06 04:00' GROUP BY ALL")
@@ -191,8 +198,8 @@ def union_card(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM ((SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997) INTERSECT (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
 def intersect_card_orders_segment(spark, sf_dir):
-    both = mo(spark, sf_dir).unionByName(ms(spark, sf_dir))
-    return sets.intersect_cardinality(both, Ref("1-URGENT", Period.of_year(1997)), Ref("BUILDING", Period.static()))
+    a, b = Ref("1-URGENT", Period.of_year(1997)), Ref("BUILDING", Period.static())
+    return sets.intersect_cardinality(mo_ms(spark, sf_dir, a & b), a, b)
 
 
 _WEEK = "SELECT user_id AS id, strftime(ts, '%Y-%m-%d') AS k FROM events WHERE event_type = 'view' AND ts >= '2024-01-01' AND ts < '2024-01-08'"
@@ -261,8 +268,8 @@ def expr_nested(spark, sf_dir):
     "((SELECT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1996) UNION (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1997)) EXCEPT (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"
 )
 def expr_orders_segment(spark, sf_dir):
-    both = mo(spark, sf_dir).unionByName(ms(spark, sf_dir))
-    return evaluate(both, Diff(Ref("1-URGENT", Period.of_year(1996)) | Ref("2-HIGH", Period.of_year(1997)), Ref("MACHINERY", Period.static())))
+    expr = Diff(Ref("1-URGENT", Period.of_year(1996)) | Ref("2-HIGH", Period.of_year(1997)), Ref("MACHINERY", Period.static()))
+    return evaluate(mo_ms(spark, sf_dir, expr), expr)
 
 
 @query(f"SELECT count(*) AS n FROM ({_NESTED})")
@@ -272,13 +279,13 @@ def expr_cardinality(spark, sf_dir):
 
 @query(f"({VIEW}) INTERSECT ({CLICK})", "raw_intersect")
 def _raw_intersect(spark, sf_dir):
-    m = me(spark, sf_dir)
+    m = asked(spark, sf_dir, Ref("view", DAY) & Ref("click", DAY))
     return sets.get(m, "view", DAY).intersect(sets.get(m, "click", DAY))
 
 
 @query(f"({VIEW}) EXCEPT ({CLICK})", "raw_subtract")
 def _raw_subtract(spark, sf_dir):
-    m = me(spark, sf_dir)
+    m = asked(spark, sf_dir, Ref("view", DAY) & Ref("click", DAY))
     return sets.get(m, "view", DAY).subtract(sets.get(m, "click", DAY))
 
 
@@ -363,11 +370,14 @@ _OPEN = f"SELECT event, id, unnest(generate_series(greatest(date_trunc('day', a)
 
 
 def intervals(spark, sf_dir) -> DataFrame:
-    """MI: (event, id, a, b), one row for each time that a customer's order was open."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    """MI: (event, id, a, b), one row for each time that a customer's order was open.
+
+    The lines of an order all begin with it, so the last one covers the others.
+    """
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
-    return both.select(F.col("o_orderpriority").alias("event"), F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("a"), F.col("l_shipdate").alias("b")).distinct()
+    return both.select(F.col("o_orderpriority").alias("event"), F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("a"), F.col("l_shipdate").alias("b"))
 
 
 def _open(spark, sf_dir) -> DataFrame:
