@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import Configuration
@@ -23,23 +25,40 @@ def first_seen(names: DataFrame) -> DataFrame:
     return names.groupBy("ext_id").agg(F.min("pos").alias("pos"))
 
 
+def _longs(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<long>")
+
+
+def _range_of(pos: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are smaller; for null, as many as there are."""
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda values: F.size(F.filter(values, lambda c: c < pos))
+    first = F.greatest(below(_longs(cuts[::step])) - 1, F.lit(0)) * step
+    return F.when(pos.isNull(), len(cuts)).otherwise(first + below(F.slice(_longs(cuts), first + 1, F.lit(step))))
+
+
 def numbered(new: DataFrame, next_id: int) -> DataFrame:
-    """New strings (ext_id, pos) with ids from ``next_id`` in order of pos.
+    """New strings (ext_id, pos) with ids from ``next_id`` in order of pos, null ones last.
 
-    Ranges of pos are numbered each by itself and start after the totals of the ranges before, so no task sorts
-    all new strings.
+    Ranges of pos, about as many as shuffle partitions, are numbered each by itself and start after the totals of the
+    ranges before, so no task sorts all new strings. Their cuts, quantiles of pos, and their totals are constants of the
+    plan: a row lies in the same range in every reading of ``new``. Partitions of repartitionByRange would not do, since each
+    reading samples and merges them anew.
     """
-    spread = new.repartitionByRange("pos").withColumn("_part", F.spark_partition_id())
-    totals = spread.groupBy("_part").count()
-    before = totals.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("pos", "ext_id")) - 1
-    return spread.withColumn("_own", own).join(F.broadcast(before), "_part").select("ext_id", (F.col("_start") + F.col("_own") + next_id).cast("long").alias("id"))
+    n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = new.agg(F.percentile_approx("pos", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(found or ()))
+    spread = new.withColumn("_part", _range_of(F.col("pos"), cuts))
+    totals = {r["_part"]: r["count"] for r in spread.groupBy("_part").count().collect()}  # a row a range
+    starts = list(accumulate((totals.get(k, 0) for k in range(len(cuts))), initial=next_id))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("pos"), "ext_id")) - 1
+    return spread.withColumn("_own", own).select("ext_id", (F.get(_longs(starts), F.col("_part")) + F.col("_own")).alias("id"))
 
 
 def assign(dictionary: DataFrame, names: DataFrame, next_id: int) -> DataFrame:
     """Entries to add for the strings of (pos, ext_id) that have none, in order of first appearance.
 
-    Empty strings are refused. ``numbered`` reads its ranges twice, so ``names`` should be a stored table.
+    Empty strings are refused. ``numbered`` reads the new ones more than once, so ``names`` should be a stored table.
     """
     if not names.where("ext_id IS NULL OR ext_id = ''").isEmpty():
         raise Configuration("an external id can't be empty")
