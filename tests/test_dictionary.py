@@ -68,3 +68,7 @@ def same(spark, customers, name):
 
 def test_store_uuid_lookups(spark, customers, merged):
     same(spark, customers, "store_uuid_lookups")
+
+
+def test_store_uuids(spark, customers, merged):
+    same(spark, customers, "store_uuids")
