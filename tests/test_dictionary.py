@@ -72,3 +72,7 @@ def test_store_uuid_lookups(spark, customers, merged):
 
 def test_store_uuids(spark, customers, merged):
     same(spark, customers, "store_uuids")
+
+
+def test_store_put_remove_ids_range(spark, customers, apart):
+    same(spark, customers, "store_put_remove_ids_range")
