@@ -76,3 +76,7 @@ def test_store_uuids(spark, customers, merged):
 
 def test_store_put_remove_ids_range(spark, customers, apart):
     same(spark, customers, "store_put_remove_ids_range")
+
+
+def test_dict_assign(spark, customers, apart):
+    same(spark, customers, "dict_assign")
