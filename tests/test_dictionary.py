@@ -80,3 +80,7 @@ def test_store_put_remove_ids_range(spark, customers, apart):
 
 def test_dict_assign(spark, customers, apart):
     same(spark, customers, "dict_assign")
+
+
+def test_dict_delete(spark, customers, apart):
+    same(spark, customers, "dict_delete")
