@@ -84,3 +84,7 @@ def test_dict_assign(spark, customers, apart):
 
 def test_dict_delete(spark, customers, apart):
     same(spark, customers, "dict_delete")
+
+
+def test_export_ids(spark, customers, apart):
+    same(spark, customers, "export_ids")
