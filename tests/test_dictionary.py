@@ -88,3 +88,7 @@ def test_dict_delete(spark, customers, apart):
 
 def test_export_ids(spark, customers, apart):
     same(spark, customers, "export_ids")
+
+
+def test_get_ids(spark, customers, apart):
+    same(spark, customers, "get_ids")
