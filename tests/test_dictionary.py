@@ -92,3 +92,7 @@ def test_export_ids(spark, customers, apart):
 
 def test_get_ids(spark, customers, apart):
     same(spark, customers, "get_ids")
+
+
+def test_store_lookups(spark, customers, apart):
+    same(spark, customers, "store_lookups")
